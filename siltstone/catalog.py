@@ -1,4 +1,350 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import codec, codes
+from siltstone.functions.bytesfn import checksum32, dictionary_id
+from siltstone.operators import chunking, dictionaries, entropy, frames, matching, tables
+from siltstone.plans import levels
+from siltstone.sources.payloads import TABLES, payloads
+from siltstone.streaming import chunks
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+#: Bytes of every document as rows (doc_id, pos, b), for the SQL side only.
+_BYTES = """bytes AS (
+  SELECT doc_id, unnest(hs) AS h, unnest(range(len(hs))) AS pos, len(hs) AS n
+  FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS hs FROM documents)
+), b AS (SELECT doc_id, pos, n, ('0x' || h)::INTEGER AS byte FROM bytes)"""
+_ENTROPY = """, hist AS (SELECT doc_id, n, byte, count(*) AS c FROM b GROUP BY ALL),
+ent AS (SELECT doc_id, n, count(*) AS n_distinct, n * log2(n) - sum(c * log2(c)) AS bits FROM hist GROUP BY doc_id, n),
+e AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(n_distinct, 0) AS n_distinct, coalesce(bits, 0) AS bits FROM documents d LEFT JOIN ent ON d.doc_id = ent.doc_id)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return payloads(spark, sf_dir, "documents", *keep)
+
+
+def _rounded(bits):
+    return F.round(bits, 2)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_payloads, coalesce(sum(strlen({c})), 0)::BIGINT AS n_bytes, coalesce(max(strlen({c})), 0)::BIGINT AS longest FROM {t}" for t, (_, c) in TABLES.items()))
+def payload_tables(spark, sf_dir):
+    out = None
+    for t in TABLES:
+        one = payloads(spark, sf_dir, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_payloads"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"), F.coalesce(F.max("n_bytes"), F.lit(0)).alias("longest"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"WITH {_BYTES} SELECT byte, count(*) AS n FROM b GROUP BY byte")
+def byte_histogram(spark, sf_dir):
+    return entropy.byte_histogram(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_BYTES}{_ENTROPY} SELECT doc_id, n AS n_bytes, n_distinct, round(bits, 2) AS bits, bits + 160 + 0.02 * n >= 8 * n AS stored FROM e")
+def payload_entropy(spark, sf_dir):
+    out = entropy.payload_entropy(_docs(spark, sf_dir))
+    return out.select(F.col("payload_id").alias("doc_id"), "n_bytes", F.col("n_distinct").cast("long").alias("n_distinct"), _rounded("bits").alias("bits"), "stored")
+
+
+@query(f"WITH {_BYTES}{_ENTROPY} SELECT source, count(*) AS n, count(*) FILTER (WHERE bits + 160 + 0.02 * n >= 8 * n) AS n_stored FROM e JOIN documents USING (doc_id) GROUP BY source")
+def literal_gate(spark, sf_dir):
+    return entropy.payload_entropy(_docs(spark, sf_dir, "source")).groupBy("source").agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored"))
+
+
+@query(f"WITH {_BYTES}{_ENTROPY} SELECT doc_id, n <= 0 OR n_distinct <= 1 AS uniform FROM e")
+def uniform_payloads(spark, sf_dir):
+    return entropy.uniform(_docs(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "uniform")
+
+
+@query(f"WITH {_BYTES} SELECT doc_id, count(DISTINCT byte) AS n_distinct FROM b WHERE pos % ((n // 2048) | 1) = 0 GROUP BY doc_id")
+def strided_distinct(spark, sf_dir):
+    out = entropy.sampled_distinct(_docs(spark, sf_dir).where("n_bytes > 0"))
+    return out.select(F.col("payload_id").alias("doc_id"), F.col("n_distinct").cast("long").alias("n_distinct"))
+
+
+@query(f"""WITH {_BYTES}, p AS (SELECT * FROM (VALUES (0), (1), (2)) AS t(k)),
+probes AS (SELECT doc_id, k, count(DISTINCT byte) AS d FROM b, p
+  WHERE pos >= CASE k WHEN 0 THEN 0 WHEN 1 THEN greatest(0, n // 2 - 2048) ELSE greatest(0, n - 4096) END
+    AND pos < CASE k WHEN 0 THEN 0 WHEN 1 THEN greatest(0, n // 2 - 2048) ELSE greatest(0, n - 4096) END + 4096 GROUP BY doc_id, k)
+SELECT d.doc_id, coalesce(max(p.d) >= 48, false) AS wide FROM documents d LEFT JOIN probes p ON d.doc_id = p.doc_id GROUP BY d.doc_id""")
+def wide_alphabet(spark, sf_dir):
+    """With 48 distinct bytes for wide: text hardly reaches the 128 that binary payloads are judged by."""
+    return entropy.wide_alphabet(_docs(spark, sf_dir), least=48).select(F.col("payload_id").alias("doc_id"), "wide")
+
+
+@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, pos // 4096 AS block_no, byte, count(*) AS c FROM b GROUP BY ALL)
+SELECT doc_id, block_no::INTEGER AS block_no, sum(c)::BIGINT AS n_bytes, count(*) AS n_distinct, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 2) AS bits FROM h GROUP BY doc_id, block_no""")
+def block_entropy(spark, sf_dir):
+    out = entropy.block_entropy(_docs(spark, sf_dir), 4096)
+    return out.select(F.col("payload_id").alias("doc_id"), "block_no", "n_bytes", F.col("n_distinct").cast("long").alias("n_distinct"), _rounded("bits").alias("bits"))
+
+
+@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, n, byte, count(*) AS c FROM b GROUP BY ALL),
+logs AS (SELECT k, round(256 * (8 - log2(greatest(1, k))))::BIGINT AS v FROM range(257) AS t(k))
+SELECT doc_id, (sum(c * v) // 256)::BIGINT AS cost_bits FROM h JOIN logs ON k = greatest(1, c * 256 // n) GROUP BY doc_id""")
+def fixed_point_cost(spark, sf_dir):
+    out = entropy.histograms(_docs(spark, sf_dir).where("n_bytes > 0"))
+    return out.select(F.col("payload_id").alias("doc_id"), entropy.fixed_point_bits(F.col("counts")).alias("cost_bits"))
+
+
+@query("""SELECT doc_id, k::INTEGER AS block_no, k * 1024 AS byte_offset, least(1024, n - k * 1024)::BIGINT AS size
+FROM (SELECT doc_id, n, unnest(range((n + 1023) // 1024)) AS k FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents))""")
+def fixed_blocks(spark, sf_dir):
+    return chunking.fixed_blocks(_docs(spark, sf_dir), 1024).withColumnRenamed("payload_id", "doc_id")
+
+
+@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, pos // 1024 AS k, byte, count(*) AS c FROM b WHERE pos // 1024 < n // 1024 GROUP BY ALL),
+pairs AS (SELECT DISTINCT x.doc_id, x.k FROM h x WHERE x.k > 0),
+keys AS (SELECT p.doc_id, p.k, h.byte FROM pairs p JOIN h ON h.doc_id = p.doc_id AND h.k IN (p.k, p.k - 1) GROUP BY ALL)
+SELECT keys.doc_id, keys.k::INTEGER AS chunk_no, sum(abs(coalesce(a.c, 0) - coalesce(z.c, 0)) * 1024)::BIGINT AS distance
+FROM keys LEFT JOIN h a ON a.doc_id = keys.doc_id AND a.k = keys.k AND a.byte = keys.byte
+LEFT JOIN h z ON z.doc_id = keys.doc_id AND z.k = keys.k - 1 AND z.byte = keys.byte GROUP BY keys.doc_id, keys.k""")
+def fingerprint_distance(spark, sf_dir):
+    return chunking.chunk_distances(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
+
+
+@query()
+def pre_split_blocks(spark, sf_dir):
+    """Blocks of 32 KiB, so that documents have full ones."""
+    return chunking.pre_split(_docs(spark, sf_dir), 4, 32 << 10).withColumnRenamed("payload_id", "doc_id")
+
+
+@query()
+def content_splits(spark, sf_dir):
+    return chunking.content_splits(_docs(spark, sf_dir)).groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n_splits"), F.max("split").alias("last_split"))
+
+
+@query("""SELECT page_id, greatest(1048576, least(1073741824, n // 16))::BIGINT AS job_size, greatest(1, ceil(n / greatest(1048576, n // 16)))::BIGINT AS n_jobs
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n FROM pages)""")
+def job_grid(spark, sf_dir):
+    return chunking.jobs(payloads(spark, sf_dir, "pages")).withColumnRenamed("payload_id", "page_id")
+
+
+_GRAM5 = """WITH g AS (SELECT doc_id, i AS pos, substring(h, 2 * i + 1, 10) AS k FROM (SELECT doc_id, h, unnest(range(greatest(0, length(h) // 2 - 4))) AS i
+  FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents))), c AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id, k ORDER BY pos) AS prev FROM g)"""
+
+
+@query(_GRAM5 + """ SELECT d.doc_id, count(pos) AS positions, count(prev) AS matched, count(*) FILTER (WHERE pos - prev <= 4096) AS near, coalesce(sum(pos - prev), 0)::BIGINT AS distance
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id""")
+def asof_match_candidates(spark, sf_dir):
+    return matching.candidate_summary(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
+
+
+@query(_GRAM5 + " SELECT (length(bin(pos - prev)) - 1)::INTEGER AS bucket, count(*) AS n FROM c WHERE prev IS NOT NULL GROUP BY ALL")
+def offset_spectrum(spark, sf_dir):
+    return matching.offset_spectrum(_docs(spark, sf_dir))
+
+
+@query(_GRAM5.split(", c AS")[0] + """, c AS (SELECT doc_id, count(*) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS n_candidates FROM g)
+SELECT doc_id, n_candidates::INTEGER AS n_candidates, count(*) AS n FROM c WHERE n_candidates > 0 GROUP BY ALL""")
+def newest_match_candidates(spark, sf_dir):
+    return matching.newest_candidates(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
+
+
+@query("""WITH w AS (SELECT substring(h, 128 * i + 1, 128) AS x FROM (SELECT h, unnest(range(length(h) // 128)) AS i FROM (SELECT hex(encode(coalesce(text, ''))) AS h FROM documents)))
+SELECT md5(unhex(x)) AS hash, count(*) AS n FROM w GROUP BY x HAVING count(*) > 1""")
+def twin_windows(spark, sf_dir):
+    return matching.twins(_docs(spark, sf_dir))
+
+
+@query()
+def long_distance_matches(spark, sf_dir):
+    found = matching.long_distance(_docs(spark, sf_dir))
+    return found.groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("distance").alias("distance"))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS restored FROM documents")
+def parse_restores_length(spark, sf_dir):
+    """Literal and match lengths of a greedy parse add up to the payload."""
+    seqs = matching.greedy_sequences(_docs(spark, sf_dir))
+    return seqs.groupBy(F.col("payload_id").alias("doc_id")).agg(F.sum(F.col("ll") + F.col("ml")).cast("long").alias("restored"))
+
+
+@query()
+def sequence_code_histogram(spark, sf_dir):
+    seqs = matching.greedy_sequences(_docs(spark, sf_dir)).where("ml > 0")
+    channel = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), v.cast("int").alias("code")) for c, v in (("ll", codes.literal_length_code(F.col("ll"))), ("ml", codes.match_length_code(F.col("ml"))), ("of", codes.offset_code(F.col("distance") + 3)))])).alias("c")
+    return seqs.select(channel).groupBy("c.channel", "c.code").agg(F.count("*").alias("n"))
+
+
+def _code_sql() -> str:
+    values = ", ".join(f"('{c}', {k}, {v}, {v + (1 << b)})" for c, t in (("ll", codes.LITERAL_LENGTHS), ("ml", codes.MATCH_LENGTHS)) for k, (v, b) in enumerate(t))
+    return f"""WITH t(channel, code, base, past) AS (VALUES {values}), v AS (SELECT DISTINCT strlen(coalesce(text, '')) AS v FROM documents)
+SELECT v AS length, max(code) FILTER (WHERE channel = 'll') AS ll_code, max(code) FILTER (WHERE channel = 'ml') AS ml_code, (length(bin(v)) - 1)::INTEGER AS of_code
+FROM v JOIN t ON v >= base AND v < past WHERE v >= 3 GROUP BY v"""
+
+
+@query(_code_sql())
+def length_codes(spark, sf_dir):
+    n = _docs(spark, sf_dir).where("n_bytes >= 3").select(F.col("n_bytes").alias("length")).distinct()
+    v = F.col("length")
+    return n.select("length", codes.literal_length_code(v).alias("ll_code"), codes.match_length_code(v).alias("ml_code"), codes.offset_code(v).alias("of_code"))
+
+
+@query("SELECT d AS byte, ((1 << (10 + d // 8)) + (1 << (10 + d // 8)) // 8 * (d % 8))::BIGINT AS window_size FROM (SELECT range AS d FROM range(176))")
+def window_sizes(spark, sf_dir):
+    """Descriptors up to the largest window that a 32-bit exponent names here, 2 GiB."""
+    return spark.range(176).select(F.col("id").alias("byte"), codes.window_size(F.col("id").cast("int")).alias("window_size"))
+
+
+@query("""SELECT d AS byte, (d >> 6)::INTEGER AS size_flag, (d & 32) <> 0 AS single_segment, (d & 8) <> 0 AS reserved, (d & 4) <> 0 AS has_checksum,
+  (CASE d >> 6 WHEN 0 THEN (CASE WHEN d & 32 <> 0 THEN 1 ELSE 0 END) WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END)::INTEGER AS size_bytes,
+  (CASE d & 3 WHEN 3 THEN 4 ELSE d & 3 END)::INTEGER AS dictionary_bytes, (d >> 6) <> 0 OR (d & 32) <> 0 AS declares_size,
+  (5 + CASE WHEN d & 32 <> 0 THEN 0 ELSE 1 END + CASE d & 3 WHEN 3 THEN 4 ELSE d & 3 END
+   + CASE d >> 6 WHEN 0 THEN (CASE WHEN d & 32 <> 0 THEN 1 ELSE 0 END) WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END)::INTEGER AS header_bytes FROM (SELECT range AS d FROM range(256))""")
+def header_descriptors(spark, sf_dir):
+    fields = codes.descriptor_fields(F.col("id").cast("int"))
+    return spark.range(256).select(F.col("id").alias("byte"), *[c.alias(name) for name, c in fields.items()])
+
+
+@query("SELECT doc_id, n + (n >> 8) + (CASE WHEN n < 131072 THEN (131072 - n) >> 11 ELSE 0 END) AS bound FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
+def compress_bounds(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("payload_id").alias("doc_id"), codes.compress_bound(F.col("n_bytes")).alias("bound"))
+
+
+def _level_sql() -> str:
+    rows = ", ".join(f"({a}, '{b}', {c}, {str(d).lower()})" for a, b, c, d in levels.LEVELS)
+    return f"""WITH t(level, strategy, window_log, long_distance) AS (VALUES {rows})
+SELECT level, count(*) AS n, max(greatest(10, least(window_log, CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END)))::INTEGER AS widest
+FROM t, (SELECT strlen(coalesce(html, '')) AS n FROM pages) GROUP BY level"""
+
+
+@query(_level_sql())
+def level_windows(spark, sf_dir):
+    """The widest window that each level needs for any page. The level table has a row per level, so it goes to every task."""
+    rows = payloads(spark, sf_dir, "pages").select("n_bytes").withColumn("t", F.explode(F.array(*[F.struct(F.lit(a).alias("level"), F.lit(c).alias("window_log")) for a, _, c, _ in levels.LEVELS])))
+    return rows.groupBy("t.level").agg(F.count("*").alias("n"), F.max(levels.adjusted_window_log(F.col("t.window_log"), F.col("n_bytes"))).alias("widest"))
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) * 8 // (SELECT count(*) FROM documents))::INTEGER AS lane FROM documents")
+def consecutive_lanes(spark, sf_dir):
+    return levels.consecutive_lanes(_docs(spark, sf_dir), 8).withColumnRenamed("payload_id", "doc_id")
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, md5(coalesce(text, '')) AS md5, NULL::VARCHAR AS error FROM documents")
+def zstd_roundtrip(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("payload_id", F.coalesce("content", F.lit(b"")).alias("content"))
+    back = rows.select("payload_id", codec.compressor()("content").alias("content")).select("payload_id", codec.decompressor()("content").alias("d"))
+    return back.select(F.col("payload_id").alias("doc_id"), F.octet_length("d.content").cast("long").alias("n_bytes"), F.md5("d.content").alias("md5"), F.col("d.error").alias("error"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ok FROM documents")
+def frame_checksums(spark, sf_dir):
+    """The four bytes that end a frame are the content's checksum."""
+    rows = _docs(spark, sf_dir).select(F.coalesce("content", F.lit(b"")).alias("content"))
+    rows = rows.select(checksum32("content").alias("sum"), codec.compressor()("content").alias("z"))
+    tail = F.concat(*[F.substring(F.hex(F.substring(F.col("z"), -k, 1)), 1, 2) for k in (1, 2, 3, 4)])
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.conv(tail, 16, 10).cast("long") == F.col("sum")).alias("n_ok"))
+
+
+def _framed(spark, sf_dir) -> DataFrame:
+    rows = _docs(spark, sf_dir, "source").withColumn("content", F.coalesce("content", F.lit(b"")))
+    return rows.withColumn("content", codec.compressor()("content"))
+
+
+@query("""SELECT doc_id, 0 AS frame_no, 'frame' AS kind, n AS content_size, true AS has_checksum, 0::BIGINT AS dict_id, NULL::VARCHAR AS error
+FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)""")
+def frame_headers(spark, sf_dir):
+    return frames.frames(_framed(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "frame_no", "kind", F.col("content_size").cast("long").alias("content_size"), "has_checksum", "dict_id", "error")
+
+
+@query("""SELECT source, 2 * count(*) AS frames, count(*) AS skips, (2 * sum(strlen(coalesce(text, ''))))::BIGINT AS decompressed, true AS uses_check, 0::BIGINT AS errors FROM documents GROUP BY source""")
+def file_totals(spark, sf_dir):
+    """Each payload framed twice around a skippable frame, listed, and summed by source."""
+    rows = _framed(spark, sf_dir)
+    rows = rows.withColumn("content", F.concat("content", frames.skippable_frame(F.encode(F.col("source"), "utf-8"), 3), "content"))
+    found = frames.frames(rows).join(rows.select("payload_id", "source"), "payload_id")
+    return frames.totals(found, "source").drop("compressed", "ratio")
+
+
+@query("SELECT doc_id, n AS bound FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
+def decompress_bounds(spark, sf_dir):
+    return frames.decompress_bound(frames.frames(_framed(spark, sf_dir)), "payload_id").withColumnRenamed("payload_id", "doc_id")
+
+
+@query()
+def block_types(spark, sf_dir):
+    return frames.blocks(_framed(spark, sf_dir)).groupBy("block_type").agg(F.count("*").alias("n"), F.sum("stored_size").cast("long").alias("stored"))
+
+
+@query("SELECT 'zstd' AS format, count(*) AS n FROM documents UNION ALL SELECT 'skippable', count(*) FROM documents UNION ALL SELECT 'gzip', count(*) FROM documents UNION ALL SELECT 'empty', count(*) FROM documents")
+def format_sniffing(spark, sf_dir):
+    z = _framed(spark, sf_dir).select("content")
+    rows = z.select(F.explode(F.array("content", frames.skippable_frame(F.col("content")), F.concat(F.unhex(F.lit("1F8B0800")), F.col("content")), F.lit(b""))).alias("content"))
+    return rows.groupBy(frames.format_of(F.col("content")).alias("format")).agg(F.count("*").alias("n"))
+
+
+@query()
+def ratio_report(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "lang", "source").withColumn("z", F.octet_length(codec.compressor()(F.coalesce("content", F.lit(b"")))))
+    out = rows.rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"), F.sum("z").cast("long").alias("compressed"))
+    return out.withColumn("ratio", F.when(F.col("compressed") == 0, 0.0).otherwise(F.round(F.col("n_bytes") / F.col("compressed"), 3)))
+
+
+@query("""WITH g AS (SELECT substring(h, 2 * i + 1, 16) AS k FROM (SELECT h, unnest(range(greatest(0, length(h) // 2 - 7))) AS i FROM (SELECT hex(encode(coalesce(text, ''))) AS h FROM documents)))
+SELECT k AS kmer, count(*) AS n FROM g GROUP BY k HAVING count(*) >= 20""")
+def kmer_counts(spark, sf_dir):
+    found = dictionaries.kmer_counts(_docs(spark, sf_dir), 20)
+    text = F.lpad(F.hex(F.col("kmer")), 16, "0")
+    return found.select(F.concat(*[F.substring(text, 15 - 2 * k, 2) for k in range(8)]).alias("kmer"), "n")
+
+
+@query()
+def dictionary_sweep(spark, sf_dir):
+    return dictionaries.train(payloads(spark, sf_dir, "conversations")).select("k", "eval_bytes", "dict_bytes", dictionary_id("content").alias("dict_id"))
+
+
+def _source_hist(spark, sf_dir) -> DataFrame:
+    each = entropy.histograms(_docs(spark, sf_dir, "source")).select("source", F.posexplode("counts").alias("symbol", "n")).where("n > 0")
+    return each.groupBy("source", "symbol").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT source, 2048::BIGINT AS states FROM documents")
+def normalized_tables(spark, sf_dir):
+    """Normalised byte counts of each source add up to the table's states."""
+    return tables.normalized_counts(_source_hist(spark, sf_dir), "source").groupBy("source").agg(F.sum("norm").cast("long").alias("states"))
+
+
+@query()
+def huffman_sizes(spark, sf_dir):
+    return tables.coded_size(tables.huffman_lengths(_source_hist(spark, sf_dir), "source"), "source")
+
+
+def _timings(spark, sf_dir) -> DataFrame:
+    """Made-up timings of a conversation's turns: by length of the turn and its number."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    n = F.coalesce(F.octet_length("text"), F.lit(0))
+    return rows.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("chunk_no"), (n % 97 + 50).alias("read_ns"), (n % 89 + 50).alias("encode_ns"), (n % 83 + 50).alias("output_ns"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, strlen(coalesce(text, '')) AS n FROM conversations),
+s AS (SELECT conv_id, i, CASE WHEN greatest(n % 97, n % 83) * 8 + 400 >= (n % 89 + 50) * 9 THEN 1 WHEN (n % 89 + 50) * 32 >= (greatest(n % 97, n % 83) + 50) * 33 THEN -1 ELSE 0 END AS step FROM t),
+r(conv_id, i, level) AS (SELECT conv_id, 0::BIGINT, 3 FROM s WHERE i = 1 UNION ALL SELECT r.conv_id, s.i, greatest(1, least(19, r.level + s.step)) FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1)
+SELECT conv_id::VARCHAR AS stream_id, string_agg(level::VARCHAR, ',' ORDER BY i) AS levels FROM r WHERE i > 0 GROUP BY conv_id""")
+def adaptive_levels(spark, sf_dir):
+    out = levels.adaptive_levels(_timings(spark, sf_dir))
+    return out.select("stream_id", F.concat_ws(",", F.transform("levels", lambda x: x.cast("string"))).alias("levels"))
+
+
+@query("SELECT page_id::VARCHAR AS stream_id, greatest(1, ceil(strlen(coalesce(html, '')) / 1024))::BIGINT AS chunks, strlen(coalesce(html, '')) AS n_bytes FROM pages")
+def chunked_streams(spark, sf_dir):
+    """Pages as streams of 1 KiB chunks, encoded and decoded chunk by chunk."""
+    back = chunks.decode_stream(chunks.encode_stream(chunks.chunked(payloads(spark, sf_dir, "pages"), 1024)))
+    return back.groupBy("stream_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("content")).alias("n_bytes"))
