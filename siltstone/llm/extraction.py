@@ -36,7 +36,10 @@ LABELLED = (
     (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1), (30, 0.0, 5, 0.0, 6, 0.0, 1, 0, 0, 1), (80, 0.05, 80, 0.0, 90, 0.0, 1, 0, 0, 1), (200, 0.0, 4, 0.0, 10, 0.0, 1, 0, 0, 1),
     (12, 0.3, 50, 0.0, 60, 0.0, 1, 0, 0, 1), (60, 0.5, 40, 0.0, 30, 0.0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1, 1), (4, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 1),
     (9, 0.0, 90, 0.0, 8, 0.0, 1, 0, 0, 1), (15, 0.0, 15, 0.0, 15, 0.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 6, 0.0, 1, 0, 0, 1), (6, 0.0, 7, 0.0, 8, 0.2, 1, 0, 1, 1),
+    (60, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), (12, 0.0, 2, 0.0, 0, 0.0, 1, 0, 0, 1), (7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 1),
+    (5, 0.0, 40, 0.0, 1, 1.0, 1, 0, 0, 1), (90, 0.0, 50, 0.0, 2, 1.0, 1, 0, 0, 1), (15, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (8, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1, 1),
     # main text of pages that mark no article
+    (80, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 1), (40, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (35, 0.1, 9, 0.0, 2, 1.0, 0, 0, 0, 1), (90, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
     (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (9, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (80, 0.0, 7, 0.0, 70, 0.0, 0, 0, 0, 1), (60, 0.05, 80, 0.0, 90, 0.0, 0, 0, 0, 1),
     (40, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 1), (70, 0.0, 60, 0.0, 9, 0.3, 0, 0, 0, 1), (20, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1),
     (2, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 80, 0.0, 50, 0.0, 0, 0, 1, 1), (30, 0.0, 5, 0.0, 7, 0.4, 0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
