@@ -1,8 +1,9 @@
 """SpotSigs: document fingerprints from chains of content words that follow common words.
 
-Every occurrence of an anchor (a very common word) and the CHAIN content words after it make a spot signature; the set of
-a text's signatures, as sorted 32-bit hashes in hex, is its fingerprint. Menus and other template text have few anchors, so
-they hardly count. Sets are compared by Jaccard similarity; sets of too different length need not be compared.
+Every occurrence of an anchor (a very common word) and the CHAIN content words after it make a spot signature; in stretches of
+more than GAP words without an anchor (tables, lists, other languages) each word is one. The multiset of a text's
+signatures (the k-th occurrence of one is an element of its own), as sorted 32-bit hashes in hex, is its fingerprint. They
+are compared by Jaccard similarity; sets of too different length need not be compared.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import U64, documents, mix64, partitions
 from .shingles import word_hashes
 
-CHAIN = 2
+CHAIN, GAP = 2, 10
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by can do for from had has have he her his i if in is it its not of on or said she so that the their there they this to was we were which who will with would you "
@@ -31,23 +32,23 @@ _PLACE = mix64(np.arange(900, 902 + CHAIN, dtype=np.uint64)) | U64(1)
 
 
 def signatures(text: str) -> np.ndarray:
-    """Sorted distinct 32-bit spot signatures of a text. A text with too few anchors or content words for any takes all its
-    words as one signature; one without words has none."""
+    """Sorted distinct 32-bit spot signatures of a text, none without words. Chains that the end of the text cuts off count as
+    they are, so that every text with words has some."""
     w = word_hashes(np.frombuffer(text.encode().translate(_SPACED), np.uint8))
     if not len(w):
         return np.zeros(0, np.uint32)
+    at = np.arange(len(w))
     common = _ANCHORS[np.searchsorted(_ANCHORS, w).clip(0, len(_ANCHORS) - 1)] == w
-    content, anchors = np.flatnonzero(~common), np.flatnonzero(common)
-    after = np.searchsorted(content, anchors)
-    ok = after + CHAIN <= len(content)
-    after, anchors = after[ok], anchors[ok]
-    if not len(anchors):
-        up = mix64(np.arange(len(w), dtype=np.uint64)) | U64(1)
-        return np.array([mix64(np.array([(w * up).sum()], np.uint64))[0] >> U64(32)]).astype(np.uint32)
-    h = w[anchors] * _PLACE[0]
+    since = at - np.maximum.accumulate(np.where(common, at, -GAP - 1))
+    spots, content = np.flatnonzero(common | (since > GAP)), np.append(w[~common], np.zeros(CHAIN, np.uint64))
+    after = np.searchsorted(np.flatnonzero(~common), spots, "right")
+    h = w[spots] * _PLACE[0]
     for i in range(CHAIN):
-        h = h + w[content[after + i]] * _PLACE[i + 1]
-    return np.unique((mix64(h) >> U64(32)).astype(np.uint32))
+        h = h + content[after + i] * _PLACE[i + 1]
+    h.sort()
+    at = np.arange(len(h))
+    first = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), at, 0))
+    return np.unique((mix64(h + (at - first).astype(np.uint64) * _PLACE[-1]) >> U64(32)).astype(np.uint32))
 
 
 def to_hex(sigs: np.ndarray) -> str:
