@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import codec, codes
 from siltstone.functions.bytesfn import checksum32, dictionary_id
-from siltstone.operators import chunking, dictionaries, entropy, frames, matching, tables
+from siltstone.operators import chunking, decisions, dictionaries, entropy, frames, matching, tables
 from siltstone.plans import levels
 from siltstone.sources.payloads import TABLES, payloads
 from siltstone.streaming import chunks
@@ -89,6 +89,21 @@ def wide_alphabet(spark, sf_dir):
     return entropy.wide_alphabet(_docs(spark, sf_dir), least=48).select(F.col("payload_id").alias("doc_id"), "wide")
 
 
+@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, count(DISTINCT byte) AS d FROM b WHERE pos < 8192 GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(d, 0)::INTEGER AS head_distinct, CASE WHEN d >= 96 THEN 'row' WHEN d >= 48 THEN 'row_head' ELSE 'chain' END AS store
+FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id""")
+def candidate_stores(spark, sf_dir):
+    return decisions.stores(_docs(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "head_distinct", "store")
+
+
+@query("SELECT page_id, false AS stored, false AS skipped FROM pages")
+def random_payloads(spark, sf_dir):
+    """Text is never taken for random by either gate."""
+    rows = payloads(spark, sf_dir, "pages")
+    out = decisions.sampled_gate(rows).join(decisions.incompressible(rows), "payload_id")
+    return out.withColumnRenamed("payload_id", "page_id")
+
+
 @query(f"""WITH {_BYTES}, h AS (SELECT doc_id, pos // 4096 AS block_no, byte, count(*) AS c FROM b GROUP BY ALL)
 SELECT doc_id, block_no::INTEGER AS block_no, sum(c)::BIGINT AS n_bytes, count(*) AS n_distinct, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 2) AS bits FROM h GROUP BY doc_id, block_no""")
 def block_entropy(spark, sf_dir):
