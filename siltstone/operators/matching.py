@@ -7,6 +7,8 @@ payloads (twins, long-distance matches) do shuffle, but only the hashes of windo
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,16 +28,15 @@ def previous(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def lengths(data: np.ndarray, pos: np.ndarray, cand: np.ndarray, most: int = 1 << 16) -> np.ndarray:
-    """Length of the match of each position with its candidate, up to `most` and the end."""
-    n = np.zeros(len(pos), np.int64)
-    live = np.arange(len(pos))
-    while len(live):
-        p, c = pos[live] + n[live], cand[live] + n[live]
-        ok = p < len(data)
-        ok[ok] = data[p[ok]] == data[c[ok]]
-        live = live[ok & (n[live] < most)]
-        n[live] += 1
+def match_length(data: bytes, pos: int, cand: int) -> int:
+    """How many bytes at pos equal those at the earlier cand."""
+    n, step = 0, 16
+    while step:
+        if pos + n + step <= len(data) and data[pos + n : pos + n + step] == data[cand + n : cand + n + step]:
+            n += step
+            step *= 2
+        else:
+            step //= 2
     return n
 
 
@@ -72,30 +73,31 @@ def newest_candidates(payloads: DataFrame, k: int = 5, depth: int = 4) -> DataFr
     return per_payload(payloads, "payload_id", solve, "n_candidates int, n long")
 
 
-def pays(length, distance, repeat=False):
+def pays(length: int, distance: int, repeat: bool = False) -> bool:
     """Whether a match saves more than its offset costs: a repeated offset, or 4 * length >= bits of the distance + 7."""
-    return repeat | (4 * length >= np.floor(np.log2(np.maximum(distance, 1))).astype(np.int64) + 7)
+    return repeat or 4 * length >= distance.bit_length() - 1 + 7
 
 
 def greedy_sequences(payloads: DataFrame, k: int = 5, window: int = 1 << 22) -> DataFrame:
     """payload_id, seq_no, ll, ml, distance, repeat: a greedy parse over newest candidates. The last literals of a payload make a
     row with ml 0. A parse is an ordered fold over one payload, hence a loop over its matches."""
     def solve(data):
-        prev = previous(data, k)
+        prev, raw = previous(data, k), data.tobytes()
         at = np.flatnonzero((prev >= 0) & (np.arange(len(prev)) - prev <= window))
-        if len(at):
-            size = lengths(data, at, prev[at])
-            at, size = at[(ok := pays(size, at - prev[at]))], size[ok]
+        back, at = (at - prev[at]).tolist(), at.tolist()
         out, anchor, last, i = [], 0, [1, 4, 8], 0
         while i < len(at):
-            p, n = int(at[i]), int(size[i])
-            d = p - int(prev[p])
+            p, d = at[i], back[i]
+            n = match_length(raw, p, p - d)
+            if not pays(n, d, d in last):
+                i += 1
+                continue
             out.append((len(out), p - anchor, n, d, d in last))
             last = [d] + [x for x in last if x != d][:2]
             anchor = p + n
-            i = int(np.searchsorted(at, anchor))
-        if anchor < len(data) or not len(data):
-            out.append((len(out), len(data) - anchor, 0, 0, False))
+            i = bisect.bisect_left(at, anchor, i + 1)
+        if anchor < len(raw) or not raw:
+            out.append((len(out), len(raw) - anchor, 0, 0, False))
         return out
 
     return per_payload(payloads, "payload_id", solve, "seq_no int, ll int, ml int, distance long, repeat boolean")
