@@ -23,8 +23,8 @@ from .common import documents, flat_bytes
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 4, 2.0
 #: Learning rows for each language: the bound of the training sample.
 ROWS_PER_LANGUAGE = 600
-#: Share of right predictions, on held-back rows, that rejection may lose.
-LOSS = 0.0005
+#: Share of right predictions, on held-back rows, that rejection may lose; and the score from which nothing is rejected.
+LOSS, SURE = 0.0005, 0.4
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
@@ -122,7 +122,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
     s = np.exp(s - s.max(1, keepdims=True))
     s /= s.sum(1, keepdims=True)
     right = s.max(1)[s.argmax(1) == y]
-    model.least = float(min(0.5, np.quantile(right, LOSS))) if len(right) else 0.0
+    model.least = float(min(SURE, np.quantile(right, LOSS))) if len(right) else 0.0
     return model
 
 
