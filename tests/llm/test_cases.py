@@ -167,6 +167,10 @@ def test_mixing(docs, none):
     again = mixing.mixed(docs.repartition(5))
     assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
     assert mixing.mixed(none).count() == 0
+    texts = mixing.taken_texts(docs)
+    assert texts.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    assert abs(sum(words(r.text) for r in texts.collect()) - out.agg({"taken": "sum"}).first()[0]) <= 5
 
 
 def test_pipeline_of_nothing(spark, docs, none):
