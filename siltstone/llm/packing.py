@@ -14,11 +14,13 @@ from __future__ import annotations
 import bisect
 import random
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,29 +28,47 @@ from .common import documents, shared_table
 
 ROOM, END = 4096, 1
 GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 6
-#: Words whose ids a Python worker remembers.
-WORDS = 1_000_000
+#: Words, and pieces of words, whose ids a Python worker remembers.
+WORDS, PIECES = 200_000, 400_000
 
 
 class WordIds(dict):
     """Ids of single words as little-endian 32-bit bytes, remembered. The tokenizer never joins across white space, so a
-    text's ids are those of its words."""
+    text's ids are those of its words; nor across the pieces of SPLIT, so a simple word's ids are those of its pieces, of
+    which there are far fewer (punctuation and capitals don't make new ones)."""
+
+    # Fixed value: the pattern by which the tokenizer splits lower-cased text.
+    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.encode = Tokenizer.from_file(path).encode
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if max(word) <= "\xff" and "<|" not in word:  # composed, and lower case is one letter for one
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in self.SPLIT.findall(word.lower())])
+        else:
+            ids = self._encoded(word)
+        self[word] = ids
         return ids
 
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        ids = self.pieces[piece] = self._encoded(piece)
+        return ids
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes them for spaces, the tokenizer doesn't
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._encoded(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
