@@ -43,8 +43,12 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[fl
     return out
 
 
+def words_of(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", words_of("text").alias("size"))
 
 
 def sources_of(rows: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
@@ -67,6 +71,8 @@ def sources_of(rows: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
 
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, no, rank): the mix in order. Every source gets exactly its slots; the few that the points leave short come last."""
+    # Slots and their counts grow with the corpus, though the planner takes what comes from a short range for small: hence the
+    # merge hints. sources has one row per source and is on the driver in any case, so it may go to every task.
     spark = sources.sparkSession
     need = np.array([r["slots"] for r in sources.orderBy("no").select("slots").collect()], np.int64)
     total = int(need.sum())
@@ -86,8 +92,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     drawn = spark.range(-(-total // _CHUNK)).mapInArrow(run, "slot long, no int, own long, chunk long")
     told = drawn.groupBy("no", "chunk").agg(F.count("*").alias("n"))
     before = told.withColumn("before", F.sum("n").over(Window.partitionBy("no").orderBy("chunk")) - F.col("n"))
-    ranked = drawn.join(before.select("no", "chunk", "before"), ["no", "chunk"]).select("slot", "no", (F.col("own") + F.col("before")).alias("rank"))
-    kept = ranked.join(sources.select("no", "slots"), "no").where("rank < slots").select("slot", "no", "rank")
+    ranked = drawn.join(before.select("no", "chunk", "before").hint("merge"), ["no", "chunk"]).select("slot", "no", (F.col("own") + F.col("before")).alias("rank"))
+    kept = ranked.join(F.broadcast(sources.select("no", "slots")), "no").where("rank < slots").select("slot", "no", "rank")
     had = told.groupBy("no").agg(F.sum("n").alias("had"))
     short = sources.join(had, "no", "left").where("slots > coalesce(had, 0)").select(F.col("no"), F.explode(F.sequence(F.coalesce("had", F.lit(0)), F.col("slots") - 1)).alias("rank"))
     return kept.union(short.select(F.lit(total).cast("long").alias("slot"), "no", "rank"))
@@ -116,9 +122,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK
     rows = shared_table(sized(docs))
     sources = sources_of(rows, weights, most, block)
     named = sources.select(F.col("source").alias("s"), "no", "source_size", "target", "words", "blocks")
-    placed = laid_out(rows).join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    placed = laid_out(rows).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # what each block of each source is taken: whole times, and the words of one clipped last time
-    slots = schedule(sources).join(sources.select("no", "source_size", "words", "blocks"), "no")
+    slots = schedule(sources).join(F.broadcast(sources.select("no", "source_size", "words", "blocks")), "no")
     slots = slots.withColumn("block", F.col("rank") % F.col("blocks"))
     begin = F.expr("(rank div blocks) * source_size") + F.col("block") * block
     full = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
@@ -127,7 +133,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     inner = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
     length = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("start"))
-    got = parts.withColumn("inner", inner).withColumn("length", length).join(use, ["no", "block"], "left")
+    got = parts.withColumn("inner", inner).withColumn("length", length).join(use.hint("merge"), ["no", "block"], "left")
     each = F.coalesce(F.col("times"), F.lit(0)) * F.col("length") + F.greatest(F.lit(0), F.least(F.col("length"), F.coalesce(F.col("clip"), F.lit(0)) - F.col("inner")))
     columns = ["doc_id", "source", "size", "source_size", "target"]
     taken = got.withColumn("each", each).groupBy(*columns, "start").agg(F.sum("each").alias("taken")).drop("start")
@@ -136,18 +142,24 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK
 
 def taken_texts(docs: DataFrame, **how) -> DataFrame:
     """The documents that mixed() takes, as often as it takes them: all columns, text whole for each whole time, and cut after the
-    words of a last time that takes a part. doc_id must not repeat; n_chars, if there is one, follows the text."""
-    got = mixed(docs, **how).where("taken > 0").select(F.col("doc_id").alias("own"), "size", "taken")
-    both = docs.join(got, F.col("doc_id").eqNullSafe(F.col("own")))
-    times = both.withColumn("time", F.explode(F.sequence(F.lit(0), F.expr("(taken - 1) div size").cast("int"))))
-    words = F.least("size", F.col("taken") - F.col("time") * F.col("size"))
-    rows = times.withColumn("words", words).select(*docs.columns, F.when(words < F.col("size"), words).alias("words"))
+    words of a last time that takes a part. Rows with equal or null doc_id are matched with what they are taken in order of size;
+    n_chars, if there is one, follows the text."""
+    # names of its own, for docs may have columns of any name
+    names = {"doc_id": "__doc_id", "source": "__source", "size": "__size", "taken": "__taken"}
+    got = mixed(docs, **how).select(*[F.col(a).alias(b) for a, b in names.items()])
+    got = got.withColumn("__nth", F.row_number().over(Window.partitionBy("__doc_id", "__source").orderBy("__size", "__taken")))
+    rows = docs.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(words_of("text"), "text")))
+    match = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__nth"))
+    both = rows.join(got.where("__taken > 0"), match)
+    times = both.withColumn("__time", F.explode(F.sequence(F.lit(0), F.expr("(__taken - 1) div __size").cast("int"))))
+    words = F.least("__size", F.col("__taken") - F.col("__time") * F.col("__size"))
+    rows = times.select(*docs.columns, F.when(words < F.col("__size"), words).alias("__words"))
     word, names, schema = re.compile(WORD), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, columns = b.column("text").to_pylist(), {c: b.column(c) for c in names}
-            for i, k in enumerate(b.column("words").to_pylist()):
+            for i, k in enumerate(b.column("__words").to_pylist()):
                 if k is not None:
                     texts[i] = texts[i][: next(islice(word.finditer(texts[i]), k - 1, None)).end()]
             columns["text"] = pa.array(texts, pa.string())
