@@ -69,14 +69,28 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("v", v)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that the links a - b reach."""
+    root = np.arange(n)
+    while True:
+        was = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == was).all():
+            return root
+
+
 def links(distinct: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of distinct vectors (vec, label, v) with cosine >= least, through collision counting in blocks."""
+    """Links of distinct vectors (vec, label, v, copies) at cosine >= least, through collision counting in blocks, summed up by
+    block so that a large group of near vectors doesn't make its pairs into rows: (a, n) with the number of vectors, copies
+    counted, that a links with, and b, a vector that it is joined with by links (or a itself)."""
     half, count = calibrated(least)
     sizes = distinct.groupBy("label", F.size("v").alias("width")).agg(F.count("*").alias("n"))
     sized = distinct.withColumn("width", F.size("v")).join(sizes, ["label", "width"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     part = F.pmod(F.xxhash64("vec"), "parts").cast("int")
     spread = sized.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = spread.select("label", "width", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).alias("right"), "vec", "v")
+    placed = spread.select("label", "width", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).alias("right"), "vec", "copies", "v")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame["x"].iloc[0] == frame["y"].iloc[0]
@@ -86,7 +100,7 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
         on = v @ directions(v.shape[1])
         ids, right = frame["vec"].to_numpy(), frame["right"].to_numpy(bool)
         left, rest = (np.arange(len(v)),) * 2 if own else (np.flatnonzero(~right), np.flatnonzero(right))
-        out: list = [np.zeros((0, 2), np.int64)]
+        out: list = [np.zeros((2, 0), np.int64)]
         for i in range(0, len(left), 256):
             for j in range(0, len(rest), 2 * BLOCK):
                 a, b = left[i : i + 256], rest[j : j + 2 * BLOCK]
@@ -95,11 +109,15 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
                 if own:
                     a, b = a[a < b], b[a < b]
                 near = np.einsum("ij,ij->i", v[a], v[b]) >= least
-                out.append(np.stack([ids[a[near]], ids[b[near]]], 1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+                out.append(np.stack([a[near], b[near]]))
+        a, b = np.concatenate(out, 1)
+        copies, n = frame["copies"].to_numpy(), np.zeros(len(v), np.int64)
+        np.add.at(n, a, copies[b])
+        np.add.at(n, b, copies[a])
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"a": ids[at], "b": ids[forest(len(v), a, b)[at]], "n": n[at]})
 
-    return placed.groupBy("label", "width", "x", "y").applyInPandas(compare, "a long, b long")
+    return placed.groupBy("label", "width", "x", "y").applyInPandas(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -113,10 +131,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     usable = _usable(vectors)
     distinct = shared_table(usable.groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies")))
     found = shared_table(links(distinct, least))
-    component = connected(found)
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = distinct.select(F.col("vec").alias("b"), "copies")
-    linked = both.join(weight, "b").groupBy(F.col("a").alias("vec")).agg(F.sum("copies").alias("other"))
+    component = connected(found.select("a", "b"))
+    linked = found.groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("other"))
     classes = distinct.join(linked, "vec", "left").join(component.withColumnRenamed("node", "vec"), "vec", "left")
     classes = classes.select("label", "v", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
     known = usable.join(classes, ["label", "v"]).select("vec_id", "n_links", "component_id")
