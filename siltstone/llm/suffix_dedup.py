@@ -72,7 +72,9 @@ def regions(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _regions(docs: DataFrame) -> DataFrame:
-    """(h, g, doc, loc): loc packs the anchor's place, its distance from the first start, and the number of starts less 1."""
+    """(h, g, doc, loc): loc packs the anchor's place, its distance from the first start, and the number of starts less 1. Regions that
+    are equal to an earlier one of the same batch are repeats already and carry ~loc: they needn't meet the others, so a batch
+    sends one row for each distinct region to its anchor, however often a line, or a word in one document, is repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc").to_numpy()
@@ -94,8 +96,17 @@ def _regions(docs: DataFrame) -> DataFrame:
                 yield packed(out)
 
     def packed(out):
-        hg = np.concatenate(out[0]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hg[:, 0])), pa.array(np.ascontiguousarray(hg[:, 1])), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["h", "g", "doc", "loc"])
+        hg, doc, loc = np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
+        order = np.lexsort((loc, doc, hg[:, 1] ^ hg[:, 0]))
+        a, b = order[1:], order[:-1]
+        same = (hg[a] == hg[b]).all(1)
+        # a repeated row of one document is not a repeat of itself: such rows stay as they are
+        first = np.maximum.accumulate(np.where(np.append(False, same), 0, np.arange(len(order))))
+        itself = (doc[order] == doc[order[first]]) & (loc[order] == loc[order[first]])
+        gone = order[np.append(False, same) & ~itself]
+        loc[gone] = ~loc[gone]
+        hg = hg.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hg[:, 0])), pa.array(np.ascontiguousarray(hg[:, 1])), pa.array(doc), pa.array(loc)], ["h", "g", "doc", "loc"])
 
     return docs.mapInArrow(run, "h long, g long, doc long, loc long")
 
@@ -109,6 +120,11 @@ def _sift(found: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             h, g, doc, loc = (b.column(c).to_numpy() for c in ("h", "g", "doc", "loc"))
+            if (known := loc < 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[known]), pa.array(doc[known]), pa.array(~loc[known]), pa.array(np.zeros(known.sum(), np.int32))], ["h", "doc", "loc", "kind"])
+                h, g, doc, loc = (x[~known] for x in (h, g, doc, loc))
+                if not len(h):
+                    continue
             new_h = np.append(True, h[1:] != h[:-1])
             new_g = new_h | np.append(True, g[1:] != g[:-1])
             if tail is not None:
@@ -141,7 +157,7 @@ def _sift(found: DataFrame) -> DataFrame:
                 tail = (h[-1], g[-1], (doc[begun], loc[begun]), bool(several[last]), doc[-1], loc[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.concatenate(d)), pa.array(np.concatenate(x)), pa.array(kind)], ["h", "doc", "loc", "kind"])
 
-    dealt = found.repartition("h").sortWithinPartitions("h", "g", "doc", "loc")
+    dealt = found.repartition(F.when(F.col("loc") < 0, F.xxhash64("doc", "loc")).otherwise(F.col("h"))).sortWithinPartitions("h", "g", "doc", "loc")
     return dealt.mapInArrow(run, "h long, doc long, loc long, kind int")
 
 
