@@ -10,8 +10,8 @@ Work is kept in proportion to the documents, however large a group of copies is:
 
 1. equal sets collapse to their smallest doc_id;
 2. in each band bucket every member is paired with one hub only, the member that is in most large buckets;
-3. only buckets that still hold several components are looked at again, in blocks of bounded size, and only pairs
-   from different components whose signatures agree well enough are confirmed.
+3. only buckets that still hold several components are looked at again, in blocks of bounded size; pairs from
+   different components whose signatures agree well enough are confirmed there, until they are joined.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected, documents, drop_shared, flat_bytes, mix64, shared_table
+from .common import U64, connected, documents, flat_bytes, mix64, shared_table
 from .shingles import shingle_set
 
 EVALUATIONS, ROWS = 64, 4
 _MULTIPLY = (mix64(np.arange(1000, 1000 + EVALUATIONS, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix64(np.arange(5000, 5000 + EVALUATIONS, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 _PLACE = mix64(np.arange(77, 77 + ROWS, dtype=np.uint64)) | U64(1)
-#: Members of a block when a large bucket is compared in blocks.
-BLOCK = 512
+#: Members of a part, and parts of a cluster up to which all of them may be compared.
+BLOCK, MANY = 512, 16
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -99,13 +99,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                least, most = sorted((len(x), len(y)))
-                if denominator * least < numerator * most:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = denominator * common >= numerator * (len(both) - common)
+                keep[i] = alike(x, y, numerator, denominator)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     first = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -113,64 +107,99 @@ def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components whose signatures agree on a share of `least` or more.
+def alike(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted sets have denominator * |intersection| >= numerator * |union|."""
+    least, most = sorted((len(x), len(y)))
+    if denominator * least < numerator * most:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return denominator * common >= numerator * (len(both) - common)
 
-    members: bucket, comp, doc, n, sig, x, y. Buckets come as blocks (x, y) of at most 2 * BLOCK members, so no bucket
-    is ever gathered whole.
+
+def dealt(open_: DataFrame) -> DataFrame:
+    """(x, y, side, doc, comp): the members of open buckets (bucket, doc, size, comp) dealt into pairs of parts.
+
+    Documents that buckets connect form a cluster, cut into parts of about BLOCK members. In a cluster of more than MANY parts, which
+    chains of unrelated buckets can make, a part is of one home instead: a document's largest bucket. Two parts are compared,
+    once, if some bucket has members of both; so every pair that shares a bucket meets in one task, which holds two parts.
     """
-    def compare(doc, comp, n, side, sig, apart):
-        for i in range(0, len(doc), BLOCK):
-            a = slice(i, i + BLOCK)
-            for j in range(i, len(doc), BLOCK):
-                b = slice(j, j + BLOCK)
-                ok = comp[a, None] != comp[None, b]
-                ok &= (side[a, None] == 0) & (side[None, b] == apart)
-                ok &= 4 * np.minimum(n[a, None], n[None, b]) >= 3 * np.maximum(n[a, None], n[None, b])
-                if i == j:
-                    ok &= np.arange(len(doc[a]))[:, None] < np.arange(len(doc[b]))[None]
-                p, q = np.nonzero(ok)
-                for k in range(0, len(p), 4096):
-                    u, v = p[k : k + 4096], q[k : k + 4096]
-                    near = (sig[a][u] == sig[b][v]).mean(1) >= least
-                    yield np.minimum(doc[a][u[near]], doc[b][v[near]]), np.maximum(doc[a][u[near]], doc[b][v[near]])
+    hub = open_.groupBy("bucket").agg(F.min("doc").alias("hub"))
+    clusters = connected(open_.join(hub, "bucket").select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    home = open_.groupBy("doc", "comp").agg(F.max_by("bucket", F.struct("size", "bucket")).alias("home"))
+    placed = shared_table(home.join(clusters.withColumnRenamed("node", "doc"), "doc", "left").withColumn("cluster", F.coalesce("component", "doc")).drop("component"))
+    large = placed.groupBy("cluster").agg(F.count("*").alias("n"))
+    placed = placed.join(large, "cluster").withColumn("group", F.when(F.col("n") <= MANY * BLOCK, F.col("cluster")).otherwise(F.xxhash64("cluster", "home"))).drop("n")
+    sizes = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.xxhash64("group", F.pmod(F.xxhash64("doc"), "parts")).alias("part")
+    parts = shared_table(placed.join(sizes, "group").select("doc", "comp", part))
+    seen = open_.select("bucket", "doc").join(parts.select("doc", "part"), "doc").select("bucket", "part").distinct()
+    meet = seen.join(seen.withColumnRenamed("part", "y"), "bucket").where("part <= y").select(F.col("part").alias("x"), "y").distinct()
+    meet = shared_table(meet)
+    left = parts.join(meet, parts.part == meet.x).select("x", "y", F.lit(0).alias("side"), "doc", "comp")
+    right = parts.join(meet.where("x <> y"), F.col("part") == F.col("y")).select("x", "y", F.lit(1).alias("side"), "doc", "comp")
+    return left.union(right)
+
+
+def across(members: DataFrame, least: float, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) between different components, enough of them to join what is linked, from dealt() members with their
+    signatures and full sets (x, y, side, doc, comp, sig, shingles). Pairs that share a band and whose signatures agree on a
+    share of `least` or more are confirmed on the full sets in the task."""
+    def compare(doc, comp, side, sig, sets):
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        n = np.array([len(x) for x in sets])
+        one = np.flatnonzero(side == 0)
+        two = one if len(one) == len(side) else np.flatnonzero(side == 1)
+        out = []
+        for i in range(0, len(one), 256):
+            u = one[i : i + 256]
+            ok = comp[u, None] != comp[None, two]
+            ok &= denominator * np.minimum(n[u, None], n[None, two]) >= numerator * np.maximum(n[u, None], n[None, two])
+            if two is one:
+                ok &= u[:, None] < two[None]
+            p, q = np.nonzero(ok)
+            for k in range(0, len(p), 4096):
+                v, w = u[p[k : k + 4096]], two[q[k : k + 4096]]
+                same = sig[v] == sig[w]
+                near = (same.mean(1) >= least) & same.reshape(len(v), -1, ROWS).all(2).any(1)
+                for a, b in zip(v[near].tolist(), w[near].tolist()):
+                    ra, rb = find(comp[a].item()), find(comp[b].item())
+                    if ra != rb and alike(sets[a], sets[b], numerator, denominator):
+                        root[max(ra, rb)] = min(ra, rb)
+                        out.append(sorted((doc[a].item(), doc[b].item())))
+        return out
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        data, _ = flat_bytes(t.column("sig").combine_chunks().cast(pa.large_binary()))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        out = compare(*(t.column(c).to_numpy() for c in ("doc", "comp", "side")), data.view(np.uint32).reshape(t.num_rows, -1), sets)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["a", "b"]
-
-        def done(t):
-            cols = [t.column(c).to_numpy() for c in ("bucket", "x", "y", "doc", "comp", "n", "side")]
-            data, _ = flat_bytes(t.column("sig").combine_chunks().cast(pa.large_binary()))
-            sig = data.view(np.uint32).reshape(t.num_rows, -1)
-            new = np.ones(t.num_rows, bool)
-            if t.num_rows > 1:
-                new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])
-            at = np.append(np.flatnonzero(new), t.num_rows)
-            out = [[np.zeros(0, np.int64)] * 2]
-            for s, e in zip(at[:-1], at[1:]):
-                if e - s > 1:
-                    out += compare(cols[3][s:e], cols[4][s:e], cols[5][s:e], cols[6][s:e], sig[s:e], int(cols[1][s] != cols[2][s]))
-            a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-            both = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names)
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not t.num_rows:
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            held = t if held is None else pa.concat_tables([held, t])
-            last = [held.column(c)[-1].as_py() for c in ("bucket", "x", "y")]
-            same = np.logical_and.reduce([held.column(c).to_numpy() == v for c, v in zip(("bucket", "x", "y"), last)])
-            cut = int(same.argmax())
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield done(held)
+            x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            at = np.append(np.flatnonzero(new), len(x))
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                if now is not None and now != (x[s], y[s]):
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                now = (x[s], y[s])
+                held.append(b.slice(s, e - s))
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
-    dealt = members.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side", "doc")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("x", "y").sortWithinPartitions("x", "y", "side", "doc").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denominator: int = 100, least: float = 0.58) -> DataFrame:
@@ -187,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denomi
     told = shared_table(sketches(docs.select("doc_id", "text"), width))
     keys = ["n_shingles", "s1", "s2"]
     sets_of = told.where("sig is not null and doc_id is not null")
-    reps = sets_of.groupBy(*keys).agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("r.sig").alias("sig"))
+    reps = sets_of.groupBy(*keys).agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("doc"), *keys, F.col("r.sig").alias("sig"))
     reps = shared_table(reps)
     rows = bands(reps)
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -202,17 +231,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denomi
 
     seen = members.join(first, members.doc == first.node, "left").select("bucket", "doc", "size", F.coalesce("component", "doc").alias("comp"))
     mixed = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = seen.join(mixed, "bucket").withColumn("parts", blocks).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = spread.select("bucket", "doc", "comp", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    pairs = across(placed.join(reps, "doc"), least)
-    more = shared_table(confirm(pairs, sets, numerator, denominator))
+    met = dealt(shared_table(seen.join(mixed, "bucket")))
+    full = met.join(reps.select("doc", "sig"), "doc").join(sets, "doc")
+    more = shared_table(across(full, least, numerator, denominator))
     component = connected(links.union(more)) if more.take(1) else first
 
-    rep = sets_of.groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    out = told.select("doc_id", *keys).join(rep, keys, "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    rep = shared_table(reps.select(F.col("doc").alias("node"), *keys).join(component, "node", "left").select(*keys, F.coalesce("component", "node").alias("rep")))
+    out = told.select("doc_id", *keys).join(rep, keys, "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
