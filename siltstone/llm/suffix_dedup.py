@@ -5,8 +5,8 @@ Which bytes are covered by a WINDOW-byte string that starts earlier is decided i
 1. Blocks. Every window is assigned to its anchor, the GRAM-byte substring with the least hash in it, so equal windows have
    equal anchors at equal places. Windows in a row with one anchor form a region. A shuffle on (anchor hash, region hash) puts
    equal regions together: all but the first go whole. Regions that share an anchor with a different region form a block;
-   other text (most of it) is never sent. Anchors with many different regions are split by the hash of the bytes that
-   all windows of a quarter of a region share.
+   other text (most of it) is never sent. The windows of anchors with many different regions are settled one by one by
+   their 128-bit hashes, in a stream, so that no block grows with the corpus.
 2. Suffix sorting. The suffixes of a block that start a window are sorted one bucket at a time: by their first PERIOD
    bytes, and where those tie by the ranks of the suffixes at the difference-cover positions, which are computed before
    and once for all. The cover has 6 of 31 residues, so a task keeps long keys for a fifth of its positions only.
@@ -31,7 +31,7 @@ WINDOW, GRAM = 100, 36
 SPAN = WINDOW - GRAM + 1
 #: A difference cover: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
-#: Different regions of one anchor above which the anchor's block is split; windows of a bucket; bytes of a block in memory.
+#: Different regions of one anchor above which its windows are settled by hashes; windows of a bucket; bytes of a block in memory.
 HOT, BUCKET, BLOCK = 256, 1 << 17, 4 << 20
 _CHUNK = 1 << 18
 _POS = U64((1 << 19) - 1)
@@ -220,45 +220,79 @@ def repeated_windows(group: np.ndarray, order: np.ndarray, anchor: np.ndarray, c
     return np.split(gone, base[1:])
 
 
+_CUT = "kind int, key long, rest long, doc long, start long, anchor int, count int, bytes binary"
+
+
+def _first_windows(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which windows of a batch are the first of their hash, and the runs (doc, start, count) of those that repeat an earlier one."""
+    order = np.lexsort((start, doc, hashes[:, 1], hashes[:, 0]))
+    new = np.append(True, (hashes[order[1:]] != hashes[order[:-1]]).any(1))
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    gone = order[(doc[order] != doc[first]) | (start[order] != start[first])]
+    gone = gone[np.lexsort((start[gone], doc[gone]))]
+    d, s = doc[gone], start[gone]
+    begin = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1))) if len(s) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(s))[: len(begin)] - 1
+    return order[new], (d[begin], s[begin], s[end] - s[begin] + 1)
+
+
 def _cut(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key, doc, start, anchor, count, bytes): the text of the regions asked for (doc, asks of h, loc, hot)."""
+    """The text of the regions asked for (doc, asks of h, loc, hot), by kind.
+
+    1: a region of an anchor that has few, key its hash. 2: one window of a hot anchor, (key, rest) the 128-bit hash of its bytes; a batch
+    sends the first of each hash only. 0: `count` windows from start that repeat one of the same batch, without a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "start", "anchor", "count", "bytes"]
         for b in batches:
             ids = b.column("doc").to_numpy()
             data, off = flat_bytes(b.column("text"))
-            out: list[list] = [[] for _ in names]
-
-            def put(*row):
-                for col, v in zip(out, row):
-                    col.append(v)
-
+            out: list[list] = [[] for _ in range(6)]
+            hot: tuple[list, list, list] = ([], [], [])
+            rows = 0
             for i, asks in enumerate(b.column("asks").to_pylist()):
                 own = data[off[i] : off[i + 1]].tobytes()
                 for x in asks:
                     p, back, n = x["loc"] >> 16, x["loc"] >> 8 & 255, x["loc"] & 255
                     a = p - back
                     if not x["hot"]:
-                        put(x["h"], ids[i], a, back, n + 1, own[a : a + n + WINDOW])
+                        for col, v in zip(out, (x["h"], ids[i], a, back, n + 1, own[a : a + n + WINDOW])):
+                            col.append(v)
                         continue
-                    # quarters by distance to the anchor, so that equal windows fall into equal quarters
-                    for q in range(0, SPAN, 17):
-                        s, e = max(a, p - q - 16), min(a + n, p - q)
-                        if s <= e:
-                            core = own[p - q : p - q - 16 + WINDOW]
-                            key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([q])).digest(), "little", signed=True)
-                            put(key, ids[i], s, p - s, e - s + 1, own[s : e + WINDOW])
+                    # equal windows have equal anchors, so their hash alone is the key
+                    hot[0].append(b"".join([hashlib.blake2b(own[k : k + WINDOW], digest_size=16).digest() for k in range(a, a + n + 1)]))
+                    hot[1].append(np.full(n + 1, ids[i]))
+                    hot[2].append(np.arange(a, a + n + 1))
+                    rows += n + 1
+                    if rows > 400_000:
+                        yield from windows(hot)
+                        hot, rows = ([], [], []), 0
                 if len(out[0]) > 20_000:
-                    yield batch(out)
-                    out = [[] for _ in names]
+                    yield texts(out)
+                    out = [[] for _ in out]
             if out[0]:
-                yield batch(out)
+                yield texts(out)
+            if rows:
+                yield from windows(hot)
+
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["kind", "key", "rest", "doc", "start", "anchor", "count", "bytes"]
+
+    def batch(kind, n, key, rest, doc, start, anchor, count, text):
+        columns = (np.full(n, kind), key, rest, doc, start, anchor, count, text)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    def batch(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "doc", "start", "anchor", "count", "bytes"])
+    def texts(out):
+        key, doc, start, anchor, count, text = out
+        return batch(1, len(key), key, None, doc, start, anchor, count, text)
 
-    return docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asks").mapInArrow(run, "key long, doc long, start long, anchor int, count int, bytes binary")
+    def windows(hot):
+        hashes = np.frombuffer(b"".join(hot[0]), np.int64).reshape(-1, 2)
+        doc, start = np.concatenate(hot[1]), np.concatenate(hot[2])
+        first, (d, s, n) = _first_windows(hashes, doc, start)
+        yield batch(2, len(first), hashes[first, 0], hashes[first, 1], doc[first], start[first], None, None, None)
+        if len(d):
+            yield batch(0, len(d), None, None, d, s, None, n, None)
+
+    return docs.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asks").mapInArrow(run, _CUT)
 
 
 def _resolve(cut: DataFrame) -> DataFrame:
@@ -281,10 +315,29 @@ def _resolve(cut: DataFrame) -> DataFrame:
         out = np.concatenate(found)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, i])) for i in range(3)], ["doc", "s", "e"])
 
+    def spans(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s), pa.array(e)], ["doc", "s", "e"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        tail = None  # of the last window so far: its hash, and (doc, start) of the first window with that hash
         for b in batches:
-            t = pa.Table.from_batches([b])
+            one, two = np.searchsorted(b.column("kind").to_numpy(), (1, 2))
+            if one:
+                doc, start, count = (b.column(c).slice(0, one).to_numpy() for c in ("doc", "start", "count"))
+                yield spans(doc, start, start + count - 1 + WINDOW)
+            if two < b.num_rows:
+                key, rest, doc, start = (b.column(c).slice(two).to_numpy() for c in ("key", "rest", "doc", "start"))
+                new = np.append(True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]))
+                new[0] = tail is None or (key[0], rest[0]) != tail[:2]
+                at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+                of, begun = (np.where(at >= 0, c[at], c[0] if tail is None else t) for c, t in ((doc, tail and tail[2]), (start, tail and tail[3])))
+                gone = (doc != of) | (start != begun)
+                yield spans(doc[gone], start[gone], start[gone] + WINDOW)
+                tail = (key[-1], rest[-1], of[-1], begun[-1])
+            if one == two:
+                continue
+            t = pa.Table.from_batches([b.slice(one, two - one)])
             held = t if held is None else pa.concat_tables([held, t])
             if held.nbytes < BLOCK:
                 continue
@@ -296,7 +349,8 @@ def _resolve(cut: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, s long, e long")
+    dealt = cut.repartition(F.when(F.col("kind") == 0, F.xxhash64("doc", "start")).otherwise(F.col("key"))).sortWithinPartitions("kind", "key", "rest", "doc", "start")
+    return dealt.mapInArrow(run, "doc long, s long, e long")
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import catalog, embeddings, extraction, language, line_dedup, minhash, mixing, packing, quality, spotsigs, suffix_dedup
 
@@ -77,6 +78,22 @@ def test_suffix_dedup(spark, monkeypatch, seed):
     assert sum(w[1] for w in want.values()) > 1000
 
 
+def test_suffix_dedup_of_a_common_passage_holds_no_large_group(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(80))
+    passage = word() + word()
+    n = suffix_dedup.HOT + 100
+    docs = spark.createDataFrame([(i, word() + word() + passage + word() + word()) for i in range(n)], "doc_id long, text string").repartition(4)
+    out = suffix_dedup.without_repeats(docs).collect()
+    # a letter beside the passage may be the same by chance
+    assert len(out) == n and all(160 <= r.n_removed < 170 if r.doc_id else r.n_removed == 0 for r in out)
+    named = docs.withColumnRenamed("doc_id", "doc")
+    hot = F.struct("h", "loc", F.lit(True).alias("hot"))
+    asked = suffix_dedup._sift(suffix_dedup._regions(named)).where("kind = 1").groupBy("doc").agg(F.collect_list(hot).alias("asks"))
+    sizes = suffix_dedup._cut(named, asked).where("key is not null").groupBy("key").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 8
+
+
 def test_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
