@@ -36,7 +36,6 @@ HOT, BUCKET, BLOCK = 256, 1 << 17, 4 << 20
 _CHUNK = 1 << 18
 _POS = U64((1 << 19) - 1)
 _LEVELS = mix64(np.arange(301, 308, dtype=np.uint64)) | U64(1)
-_FIRST = -(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -364,15 +363,33 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     return whole.union(_resolve(_cut(docs, asked)))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, doc_id, text) with a doc for each distinct (doc_id, text), in the order of doc_id with nulls first; and each doc once.
+
+    Where every row has its own doc_id, that is doc. Else the distinct (doc_id, SHA-256 of the text) are sorted and numbered."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, known = rows.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.when(F.col("doc_id").isNotNull(), 1))).first()
+    if (n or 0) == (known or 0):
+        own = rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+        return own, own
+    rows = rows.withColumn("mark", F.coalesce(F.sha2("text", 256), F.sha2(F.lit(""), 256)))
+    # ids by partition and row follow the sort
+    ids = shared_table(rows.select("doc_id", "mark").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "mark").withColumn("doc", F.monotonically_increasing_id()))
+    ids = ids.select("doc", F.col("doc_id").alias("i"), F.col("mark").alias("m"))
+    own = rows.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("doc", "doc_id", "text")
+    return own, own.dropDuplicates(["doc"])
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) less every byte covered by a WINDOW-byte string that starts earlier (smaller doc_id, or
     the same document and an earlier start): doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
     Null and empty texts, and texts shorter than WINDOW bytes, lose nothing. A null doc_id comes before all others. Rows that
-    repeat a doc_id and its text are one document: none of them is a repeat of the other. Extra columns are ignored.
+    repeat a doc_id and its text are one document: none of them is a repeat of the other. Different texts with one doc_id, or with
+    none, are different documents, in the order of their SHA-256. Extra columns are ignored.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), "text")
-    gaps = repeated_intervals(base).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("gaps"))
+    base, once = _numbered(docs)
+    gaps = repeated_intervals(once.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("gaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,8 +412,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     both = base.join(gaps.hint("shuffle_hash"), "doc", "left")
-    own = F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id")
-    return both.select(own, "text", "gaps").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.select("doc_id", "text", "gaps").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir):

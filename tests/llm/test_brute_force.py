@@ -94,6 +94,19 @@ def test_suffix_dedup_of_a_common_passage_holds_no_large_group(spark):
     assert sizes.agg(F.max("count")).first()[0] <= 8
 
 
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    inner, shared = word(150), word(150)
+    rows = [(None, inner + "-" + word(300) + "+" + inner), (None, "short"), (None, None), (7, "<" + shared + ">" + word(90)), (7, word(40) + "[" + shared + "]"), (7, "brief")]
+    rows += [(-(1 << 63), word(120)), (8, "(" + shared + ")"), rows[0]]
+    by_mark = sorted((r for r in rows[3:5]), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    want = {r: r[1] or "" for r in rows} | {rows[0]: rows[0][1][:-150], by_mark[1]: by_mark[1][1].replace(shared, ""), rows[7]: "()"}
+    out = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, bytes(r.kept).decode()) for r in out), key=key) == sorted(((r[0], want[r]) for r in rows), key=key)
+
+
 def test_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
 
