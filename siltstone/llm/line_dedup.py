@@ -109,6 +109,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 @dataclass
 class LineIndex:
+    """room: the number of frequent keys that the filters were made for; beyond it they are made anew from the counts, with more room."""
+
     counts: DataFrame
     filters: DataFrame
     shards: int
@@ -170,8 +172,12 @@ def _filters(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int, int]:
 
 def build(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
     """An index of documents (doc_id, text). Every row counts as one document; null and empty texts have no keys."""
-    counts = shared_table(_counts(docs))
-    return LineIndex(counts, *_filters(counts, min_docs)[:2], min_docs, max(1, counts.count()))
+    return _built(shared_table(_counts(docs)), min_docs)
+
+
+def _built(counts: DataFrame, min_docs: int) -> LineIndex:
+    filters, shards, room = _filters(counts, min_docs)
+    return LineIndex(counts, filters, shards, min_docs, room)
 
 
 def _changed(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
@@ -181,20 +187,20 @@ def _changed(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
     counts = shared_table(both.where("n > 0").select("key", "n"))
     m, shards = index.min_docs, index.shards
     crossed = both.where(f"(n >= {m}) <> (old >= {m})").select("key", (F.col("n") >= m).alias("enters"))
-    if counts.where(F.col("n") >= m).count() > 2 * SHARD_KEYS * shards:
-        filters, shards, _ = _filters(counts, m)
-        return LineIndex(counts, filters, shards, m, index.room)
+    if counts.where(F.col("n") >= m).count() > index.room:
+        return _built(counts, m)
 
     def apply(key, held: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter(np.frombuffer(held["slots"].iloc[0], np.uint16).reshape(-1, _SLOTS).copy(), int(held["n"].iloc[0])) if len(held) else CuckooFilter.for_keys(2 * len(moves) + 1000)
         f.delete(as_numbers(moves["key"][~moves["enters"].astype(bool)]))
-        if not f.insert(as_numbers(moves["key"][moves["enters"].astype(bool)])):
-            raise RuntimeError("a filter shard is full: build the index again")
-        return pd.DataFrame({"shard": [key[0]], "slots": [f.slots.tobytes()], "n": [f.n]})
+        full = not f.insert(as_numbers(moves["key"][moves["enters"].astype(bool)]))
+        return pd.DataFrame({"shard": [key[0]], "slots": [None if full else f.slots.tobytes()], "n": [f.n]})
 
     moves = _sharded(crossed, shards)
-    filters = index.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(apply, "shard int, slots binary, n long")
-    return LineIndex(counts, shared_table(filters), shards, m, index.room)
+    filters = shared_table(index.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(apply, "shard int, slots binary, n long"))
+    if filters.where("slots is null").limit(1).count():  # a full shard lost a key: all are made again from the exact counts
+        return _built(counts, m)
+    return LineIndex(counts, filters, shards, m, index.room)
 
 
 def insert_documents(index: LineIndex, docs: DataFrame) -> LineIndex:

@@ -159,6 +159,28 @@ def test_line_index_is_reversible(spark):
     assert state(back) == state(index) and drop(back) == drop(index) != drop(both)
 
 
+@pytest.mark.parametrize("begin", [0, 100])
+def test_line_index_grows(spark, begin):
+    lines = lambda a, b: "\n".join(f"a frequent line {k}" for k in range(a, b))
+    docs = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index, seen = line_dedup.build(docs(*[lines(0, begin)] * 2), 2), docs(lines(0, 9000) + "\nrare")
+    for a, b in ((begin, 700), (700, 5000), (5000, 9000)):
+        index = line_dedup.insert_documents(index, docs(*[lines(a, b)] * 2))
+        row = line_dedup.drop_lines(index, seen).first()
+        assert row.n_dropped == b and index.counts.count() == b and index.filters.agg(F.sum("n")).first()[0] == b
+    for a, b in ((5000, 9000), (700, 5000)):
+        index = line_dedup.delete_documents(index, docs(*[lines(a, b)] * 2))
+        assert line_dedup.drop_lines(index, seen).first().n_dropped == index.counts.count() == a
+
+
+def test_full_shards_are_made_again(spark):
+    docs = lambda a, b: spark.createDataFrame([(i, "\n".join(f"line {k}" for k in range(a, b))) for i in range(2)], "doc_id long, text string")
+    index = line_dedup.build(docs(0, 10), 2)
+    index.room = 100_000  # so that the count alone doesn't call for it
+    grown = line_dedup.insert_documents(index, docs(10, 6000))
+    assert line_dedup.drop_lines(grown, docs(0, 6000)).agg(F.sum("n_dropped")).first()[0] == 12_000
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(6)
     keys = rng.integers(0, 2**63, (5000, 2), dtype=np.int64).astype(np.uint64)
