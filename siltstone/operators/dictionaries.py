@@ -7,15 +7,18 @@ size; the candidates run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.bytesfn import grams, per_payload
 
-#: Segment sizes tried; bytes of samples that a training set may hold; bytes of held-out samples compressed to compare.
-SIZES, TRAINING_BYTES, HELD_BYTES, K = (50, 537, 1024, 1511, 2000), 8 << 20, 2 << 20, 8
+#: Segment sizes tried; bytes of samples that a training set may hold.
+SIZES, TRAINING_BYTES, K = (50, 537, 1024, 1511, 2000), 8 << 20, 8
 
 
 def kmer_counts(samples: DataFrame, least: int = 1) -> DataFrame:
@@ -74,23 +77,25 @@ def select_segments(body: np.ndarray, k: int, size: int) -> bytes:
     return b"".join(reversed(out))
 
 
+def _hashed() -> Column:
+    return F.pmod(F.xxhash64("payload_id"), F.lit(1_000_003))
+
+
 def training_set(samples: DataFrame, most: int = TRAINING_BYTES) -> DataFrame:
     """payload_id, content, held: samples drawn by a hash of payload_id up to about `most` bytes, every fourth held out. A trainer
     looks at a sample of the corpus by design; the bound is this parameter."""
     total = samples.agg(F.sum("n_bytes")).first()[0] or 0
     share = min(1.0, most / max(1, total))
-    hashed = F.pmod(F.xxhash64("payload_id"), F.lit(1_000_003))
+    hashed = _hashed()
     return samples.where(hashed < share * 1_000_003).where("n_bytes > 0").select("payload_id", "content", (hashed % 4 == 3).alias("held"))
 
 
 def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZES, level: int = 3, formatted: bool = False) -> DataFrame:
-    """k, eval_bytes, dict_bytes, content: for each viable segment size the dictionary and the compressed size of the held-out
-    samples with it, the best first (ties: smaller k)."""
-    drawn = training_set(samples).withColumn("k", F.explode(F.array(*[F.lit(k) for k in sizes if K <= k <= size])))
+    """k, eval_bytes, dict_bytes, content: for each viable segment size the dictionary and the compressed size of all held-out
+    samples of the table (every fourth by hash) with it, the best first (ties: smaller k)."""
+    ks = F.explode(F.array(*[F.lit(k) for k in sizes if K <= k <= size]))
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        import zstandard as z
-
         frame = frame.sort_values("payload_id")
         held = frame["held"].to_numpy(bool)
         if held.all() or not held.any():
@@ -100,14 +105,31 @@ def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZ
         made = select_segments(body, k, size) if len(body) >= k else b""
         if formatted and len(made) >= 256:
             made = finalized(made, list(frame["content"][~held]), size, level)
-        tested, total, left = z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(made) if len(made) >= 8 else None), 0, HELD_BYTES
-        for b in frame["content"][held if held.any() else ~held]:
-            if (left := left - len(b)) < 0:
-                break
-            total += len(tested.compress(b))
-        return pd.DataFrame({"k": [k], "eval_bytes": [total], "dict_bytes": [len(made)], "content": [made]})
-
-    return drawn.groupBy("k").applyInPandas(run, "k int, eval_bytes long, dict_bytes int, content binary").orderBy("eval_bytes", "k")
+        return pd.DataFrame({"k": [k], "dict_bytes": [len(made)], "content": [made]})
+
+    # one row for each k, at most `size` bytes: computed once, and sent to every task
+    made = training_set(samples).withColumn("k", ks).groupBy("k").applyInPandas(run, "k int, dict_bytes int, content binary").collect()
+    spark = samples.sparkSession
+    given = [(r["k"], bytes(r["content"])) for r in made]
+
+    def sizes_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard as z
+
+        coders = [(k, z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(d) if len(d) >= 8 else None)) for k, d in given]
+        ks = pa.array([k for k, _ in coders], pa.int32())
+        for b in batches:
+            total = np.zeros(len(coders), np.int64)
+            for content in b.column("content"):
+                content = content.as_py()
+                total += [len(c.compress(content)) for _, c in coders]
+            yield pa.RecordBatch.from_arrays([ks, pa.array(total)], ["k", "eval_bytes"])
+
+    filled = samples.where("n_bytes > 0").select("content", (_hashed() % 4 == 3).alias("held"))
+    n, held = filled.agg(F.count("*"), F.count(F.when(F.col("held"), 1))).first()
+    tested = filled.where("held") if 0 < held < n else filled
+    sums = tested.select("content").mapInArrow(sizes_with, "k int, eval_bytes long").groupBy("k").agg(F.sum("eval_bytes").cast("long").alias("eval_bytes"))
+    found = spark.createDataFrame([(k, len(d), bytearray(d)) for k, d in given], "k int, dict_bytes int, content binary")
+    return found.join(sums, "k").select("k", "eval_bytes", "dict_bytes", "content").orderBy("eval_bytes", "k")
 
 
 def finalized(content: bytes, samples: list[bytes], size: int, level: int) -> bytes:

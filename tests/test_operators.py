@@ -188,6 +188,15 @@ def test_dictionary_helps(spark):
     assert dictionaries.dictionary_kind(bytes(best.content)) == ("raw", 0)
 
 
+def test_dictionary_sweep_counts_every_held_out_row(spark):
+    rng = np.random.default_rng(11)
+    contents = [rng.bytes(300_000) for _ in range(60)]  # held-out rows of some 4 MB that no dictionary makes smaller
+    df = table(spark, contents)
+    held = df.where("pmod(pmod(xxhash64(payload_id), 1000003), 4) = 3").agg({"n_bytes": "sum"}).first()[0]
+    assert held > 2 << 20
+    assert all(held <= r.eval_bytes < 1.01 * held for r in dictionaries.train(df, 4096).collect())
+
+
 def test_lanes():
     assert levels.heaviest_first_lanes([5, 9, 1, 1, 4], 2) == [1, 0, 0, 1, 1]
     lanes = levels.heaviest_first_lanes([7] * 6, 3)
