@@ -197,16 +197,75 @@ def test_packing_is_near_the_bound(spark):
     out = packing.pack(items, group=300).toPandas()
     assert sorted(zip(out.doc_id, out.length)) == [(i, n) for i, n in enumerate(lengths)]
     assert out.groupby("sequence_id").length.sum().max() <= packing.ROOM
-    plain = packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths.tolist(), packing.ROOM, [])
+    plain = packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths.tolist(), packing.ROOM)
     assert out.sequence_id.nunique() <= len(plain) + 2
 
 
 def test_crossover_keeps_every_item():
-    rng, lengths = random.Random(1), sorted((random.Random(2).randint(1, 4096) for _ in range(200)), reverse=True)
-    a = packing.best_fit(range(200), lengths, 4096, [])
-    b = packing.best_fit(rng.sample(range(200), 200), lengths, 4096, [])
-    c = packing.cross(a, b, lengths, 4096, rng)
-    assert sorted(i for x in c for i in x) == list(range(200)) and max(sum(lengths[i] for i in x) for x in c) <= 4096
+    rng = random.Random(5)
+    lengths = sorted((rng.randint(1, 2000) for _ in range(200)), reverse=True)
+    a = packing.best_fit(range(200), lengths, 4096)
+    b = packing.best_fit(rng.sample(range(200), 200), lengths, 4096)
+    for _ in range(50):
+        c = packing.cross(a, b, lengths, 4096, rng)
+        assert sorted(i for _, own in c for i in own) == list(range(200))
+        assert all(fill == sum(lengths[i] for i in own) <= 4096 for fill, own in c)
+
+
+def hard_lengths(seed, n, room):
+    """n bins' worth of three pieces each that fill a bin to the last token: best fit in falling order misses that by far."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(room * 38 // 100, room * 49 // 100)
+        b = rng.randint(room // 4 + 1, (room - a) // 2)
+        out += [a, b, room - a - b]
+    return sorted(out, reverse=True)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crossover_beats_best_fit_on_hard_lengths(seed):
+    lengths = hard_lengths(seed, 40, 4096)
+    plain = packing.best_fit(range(120), lengths, 4096)
+    seeds_only = packing.evolve(lengths, 4096, seed, [], children=0)
+    grown = packing.evolve(lengths, 4096, seed, [])
+    assert packing.fitness(grown, 4096) > max(packing.fitness(p, 4096) for p in (plain, seeds_only))
+    assert len(grown) < len(plain)
+
+
+def test_islands_and_migration_beat_one_island(spark):
+    room, lengths = 4096, [n for seed in range(4) for n in hard_lengths(seed, 40, 4096)]
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "row long, length long")  # a column named as one of the operator's own
+    n = {}
+    for name, how in (("many", {"islands": 3, "epochs": 4}), ("one", {"islands": 1, "epochs": 1})):
+        out = packing.pack(items, room, **how).toPandas()
+        assert out.columns.tolist() == ["row", "length", "sequence_id", "offset"] and out.groupby("sequence_id").length.sum().max() <= room
+        assert sorted(zip(out.row, out.length)) == list(enumerate(lengths))
+        n[name] = out.sequence_id.nunique()
+    plain = len(packing.best_fit(range(len(lengths)), sorted(lengths, reverse=True), room))
+    assert n["many"] < n["one"] < plain
+
+
+def test_rounds_of_groups_end(spark):
+    """Lengths of which no two bins' worth fills a bin: every bin stays open, and the rounds end all the same."""
+    items = spark.createDataFrame([(i, 2100 - 200 * (i % 2)) for i in range(3000)] + [(i, 1) for i in range(2000)], "doc_id long, length long")
+    out = packing.pack(items, group=256, epochs=1, children=5).toPandas()
+    assert len(out) == 5000 and out.groupby("sequence_id").length.sum().max() <= packing.ROOM
+    assert out.sequence_id.nunique() <= 1500 + 3
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_odd_texts(name):
+    """Each text by itself through the tokenizer, against the pieces of all texts at once; and a tokenizer that splits otherwise."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    table, whole = packing.WordIds(packing.tokenizer_path(name)), Tokenizer.from_file(packing.tokenizer_path(name))
+    assert table.by_pieces == name.startswith("word")
+    rng = random.Random(2)
+    chars = [chr(c) for c in range(256)] + list("\u0300\u0391\u03a3\u2003\u3000\U0001f600\u0130\ufb01\u2028") + ["<|endoftext|>", "<|", "'S", "'ll", "\u00c9t\u00e9", "A7", "...", "e\u0301", " ", "\n"] * 9
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    for text, ids in zip(texts, table.of(pa.array([*texts, None]))):
+        assert np.frombuffer(ids, np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_pieces(spark, sf):
