@@ -4,7 +4,8 @@ Which bytes are covered by a WINDOW-byte string that starts earlier is decided i
 
 1. Blocks. Every window is assigned to its anchor, the GRAM-byte substring with the least hash in it, so equal windows have
    equal anchors at equal places. Windows in a row with one anchor form a region. A shuffle on (anchor hash, region hash) puts
-   equal regions together: all but the first go whole. Regions that share an anchor with a different region form a block;
+   equal regions together: all but the first go whole. That is settled by 128 bits of hash: among n regions two different ones are taken for
+   equal with a probability of n * n / 2**129, 1e-12 for those of a petabyte. Regions that share an anchor with a different region form a block;
    other text (most of it) is never sent. The windows of anchors with many different regions are settled one by one by
    their 128-bit hashes, in a stream, so that no block grows with the corpus.
 2. Suffix sorting. The suffixes of a block that start a window are sorted one bucket at a time: by their first PERIOD
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, documents, flat_bytes, mix64, shared_table
@@ -33,6 +34,8 @@ SPAN = WINDOW - GRAM + 1
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Different regions of one anchor above which its windows are settled by hashes; windows of a bucket; bytes of a block in memory.
 HOT, BUCKET, BLOCK = 256, 1 << 17, 4 << 20
+#: Parts that the regions of an anchor are dealt to.
+SALTS = 256
 _CHUNK = 1 << 18
 _POS = U64((1 << 19) - 1)
 _LEVELS = mix64(np.arange(301, 308, dtype=np.uint64)) | U64(1)
@@ -111,16 +114,26 @@ def _regions(docs: DataFrame) -> DataFrame:
 
 
 def _sift(found: DataFrame) -> DataFrame:
-    """Rows to go (kind 0) and first rows of each of several regions with one anchor (kind 1)."""
+    """Rows to go (kind 0) and first rows of each of several regions with one anchor (kind 1).
+
+    Regions are dealt by their anchor and SALTS remainders of their hash, so a common anchor is spread over as many tasks. Rows with equal hashes
+    meet there. Which anchors have several regions is then told by what each of these parts has: several, or a single one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the last anchor so far: h, g, its first row's (doc, loc), if that is still to be sent
+        tail = None  # the last anchor so far: h, g, its first row's (doc, loc), whether it has several regions, the last row's doc and loc
+
+        def rows(h, doc, loc, kind):
+            n = np.full(len(h), kind, np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(loc), pa.array(n)], ["h", "doc", "loc", "kind"])
+
+        def one(kind):
+            return rows(np.array([tail[0]]), np.array([tail[2][0]]), np.array([tail[2][1]]), kind)
 
         for b in batches:
             if not b.num_rows:
                 continue
             h, g, doc, loc = (b.column(c).to_numpy() for c in ("h", "g", "doc", "loc"))
             if (known := loc < 0).any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[known]), pa.array(doc[known]), pa.array(~loc[known]), pa.array(np.zeros(known.sum(), np.int32))], ["h", "doc", "loc", "kind"])
+                yield rows(h[known], doc[known], ~loc[known], 0)
                 h, g, doc, loc = (x[~known] for x in (h, g, doc, loc))
                 if not len(h):
                     continue
@@ -133,31 +146,40 @@ def _sift(found: DataFrame) -> DataFrame:
             # a repeated row of one document is not a repeat of itself
             gone[1:] &= (doc[1:] != doc[:-1]) | (loc[1:] != loc[:-1])
             gone[0] &= tail is None or doc[0] != tail[4] or loc[0] != tail[5]
-            # an anchor has several regions if some row starts a region but not an anchor
+            yield rows(h[gone], doc[gone], loc[gone], 0)
+            # an anchor has several regions if some row starts a region but not an anchor; group 0 goes on from the batch before
             group = np.cumsum(new_h)
             several = np.zeros(group[-1] + 1, bool)
             several[group[new_g & ~new_h]] = True
-            ask = new_g & several[group]
-            if not new_h[0] and tail[3]:  # the anchor began in an earlier batch and was known to have several
-                ask |= new_g & (group == 0)
-            pend = None
-            if not new_h[0] and not tail[3] and several[0]:
-                pend = tail[2]
-            d = [doc[gone], doc[ask]] + ([np.array([pend[0]])] if pend else [])
-            x = [loc[gone], loc[ask]] + ([np.array([pend[1]])] if pend else [])
-            k = [h[gone], h[ask]] + ([np.array([tail[0]])] if pend else [])
-            kind = np.concatenate([np.zeros(len(d[0]), np.int32), np.ones(sum(map(len, d[1:])), np.int32)])
-            # state for the next batch
+            had = not new_h[0] and tail[3]
+            if tail is not None and not tail[3]:
+                if not several[0] and (new_h[0] or group[-1]):
+                    yield one(2)
+                elif several[0]:
+                    yield one(1)
+                    yield one(3)
+            ask = new_g & (several[group] | (had & (group == 0)))
+            yield rows(h[ask], doc[ask], loc[ask], 1)
             last = group[-1]
-            begun = int(np.flatnonzero(group == last)[0])
+            begin = np.flatnonzero(new_h)
+            begin_several = several[group[begin]]
+            at = begin[begin_several]
+            yield rows(h[at], doc[at], loc[at], 3)
+            at = begin[~begin_several & (group[begin] != last)]
+            yield rows(h[at], doc[at], loc[at], 2)
             if last == 0:
-                tail = (h[-1], g[-1], tail[2], tail[3] or bool(several[0]), doc[-1], loc[-1])
+                tail = (h[-1], g[-1], tail[2], had or bool(several[0]), doc[-1], loc[-1])
             else:
-                tail = (h[-1], g[-1], (doc[begun], loc[begun]), bool(several[last]), doc[-1], loc[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.concatenate(d)), pa.array(np.concatenate(x)), pa.array(kind)], ["h", "doc", "loc", "kind"])
+                tail = (h[-1], g[-1], (doc[begin[-1]], loc[begin[-1]]), bool(several[last]), doc[-1], loc[-1])
+        if tail is not None and not tail[3]:
+            yield one(2)
 
-    dealt = found.repartition(F.when(F.col("loc") < 0, F.xxhash64("doc", "loc")).otherwise(F.col("h"))).sortWithinPartitions("h", "g", "doc", "loc")
-    return dealt.mapInArrow(run, "h long, doc long, loc long, kind int")
+    part = F.xxhash64("h", F.pmod(F.col("g"), F.lit(SALTS)))
+    dealt = found.repartition(F.when(F.col("loc") < 0, F.xxhash64("doc", "loc")).otherwise(part)).sortWithinPartitions("h", "g", "doc", "loc")
+    told = dealt.mapInArrow(run, "h long, doc long, loc long, kind int")
+    # of one anchor there are SALTS of these at most
+    single = told.where("kind >= 2").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1 and kind = 2")
+    return told.where("kind < 2").union(single.select("h", "doc", "loc", F.lit(1).alias("kind")))
 
 
 def cover_ranks(text: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -357,7 +379,10 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     sifted = shared_table(_sift(_regions(docs)))
     asks = sifted.where("kind = 1")
     hot = asks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot"))
-    asked = asks.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "loc", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
+    # the asks of a common anchor meet its row in as many tasks as there are salts
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    spread = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = asks.withColumn("salt", salt).join(spread, ["h", "salt"], "left").groupBy("doc").agg(F.collect_list(F.struct("h", "loc", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
     first = F.expr("shiftright(loc, 16) - (shiftright(loc, 8) & 255)")
     whole = sifted.where("kind = 0").select("doc", first.alias("s"), (first + F.expr("loc & 255") + WINDOW).alias("e"))
     return whole.union(_resolve(_cut(docs, asked)))
