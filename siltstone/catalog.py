@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import codec, codes
 from siltstone.functions.bytesfn import checksum32, dictionary_id
-from siltstone.operators import chunking, decisions, dictionaries, entropy, frames, matching, tables
+from siltstone.operators import chunking, costs, decisions, dictionaries, entropy, frames, listing, matching, tables
 from siltstone.plans import levels
 from siltstone.sources.payloads import TABLES, payloads
 from siltstone.streaming import chunks
@@ -89,19 +89,73 @@ def wide_alphabet(spark, sf_dir):
     return entropy.wide_alphabet(_docs(spark, sf_dir), least=48).select(F.col("payload_id").alias("doc_id"), "wide")
 
 
-@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, count(DISTINCT byte) AS d FROM b WHERE pos < 8192 GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(d, 0)::INTEGER AS head_distinct, CASE WHEN d >= 96 THEN 'row' WHEN d >= 48 THEN 'row_head' ELSE 'chain' END AS store
+_HEAD = f"""WITH {_BYTES}, h AS (SELECT doc_id, count(DISTINCT byte) AS d FROM b WHERE pos < 8192 AND pos % ((least(n, 8192) >> 11) | 1) = 0 GROUP BY doc_id)"""
+
+
+@query(_HEAD + """ SELECT documents.doc_id, coalesce(d, 0)::INTEGER AS head_distinct, CASE WHEN d >= 96 THEN 'row' WHEN d >= 48 THEN 'row_head' ELSE 'chain' END AS store
 FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id""")
 def candidate_stores(spark, sf_dir):
     return decisions.stores(_docs(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "head_distinct", "store")
 
 
-@query("SELECT page_id, false AS stored, false AS skipped FROM pages")
+@query(_HEAD + " SELECT source, count(*) FILTER (WHERE coalesce(d, 0) < 48) AS light, count(*) AS n FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id GROUP BY source")
+def light_searches(spark, sf_dir):
+    rows = decisions.stores(_docs(spark, sf_dir, "source"))
+    return rows.groupBy("source").agg(F.count_if(decisions.light_attempts(F.col("head_distinct"))).alias("light"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_BYTES}, d AS (SELECT doc_id, count(DISTINCT byte) FILTER (WHERE pos % 8 = 0) AS d, count(DISTINCT byte) FILTER (WHERE pos < 4096) AS first FROM b GROUP BY doc_id)
+SELECT documents.doc_id, (CASE WHEN coalesce(first, 0) <= 1 THEN 0 ELSE least(128, d) END)::INTEGER AS n_distinct FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id""")
+def far_distinct(spark, sf_dir):
+    return decisions.far_distinct(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
+
+
+@query(f"""WITH {_BYTES}, d AS (SELECT doc_id, count(DISTINCT byte) FILTER (WHERE pos % greatest(1, n // 128) = 0) AS a, count(DISTINCT byte) FILTER (WHERE pos % greatest(1, n // 512) = 0) AS z FROM b GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(a > 20 AND z >= 42, false) AS dense FROM documents LEFT JOIN d ON documents.doc_id = d.doc_id""")
+def small_dense(spark, sf_dir):
+    return decisions.small_dense(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
+
+
+_STRIDED8 = """SELECT doc_id, i AS pos, substring(h, 2 * i + 1, 16) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 7), {step})) AS i
+  FROM (SELECT doc_id, {head} AS h FROM documents))"""
+
+
+@query("WITH g AS (" + _STRIDED8.format(head="substring(hex(encode(coalesce(text, ''))), 1, 16384)", step="((length(h) // 2) >> 11) | 1") + """), b AS (SELECT doc_id, count(DISTINCT substring(h, 2 * i + 1, 2)) AS d
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, ((length(h) // 2) >> 11) | 1)) AS i FROM (SELECT doc_id, substring(hex(encode(coalesce(text, ''))), 1, 16384) AS h FROM documents)) GROUP BY doc_id),
+r AS (SELECT doc_id, count(DISTINCT k) < count(*) AS repeats FROM g GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(d >= 40 AND repeats, false) AS parses FROM documents LEFT JOIN b ON documents.doc_id = b.doc_id LEFT JOIN r ON documents.doc_id = r.doc_id""")
+def head_repeats(spark, sf_dir):
+    """With 40 distinct bytes for wide: text hardly reaches the 128 that binary payloads are judged by."""
+    return decisions.head_repeats(_docs(spark, sf_dir), least=40).withColumnRenamed("payload_id", "doc_id")
+
+
+@query("WITH g AS (" + _STRIDED8.format(head="hex(encode(coalesce(text, '')))", step="4") + """), c AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, k ORDER BY pos) AS prev FROM g),
+t AS (SELECT doc_id, count(*) AS samples, count(*) FILTER (WHERE pos - prev >= 1024) AS far FROM c GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(samples, 0) AS samples, coalesce(far, 0) AS far, coalesce(far, 0) * 12 >= coalesce(samples, 0) AS dominant FROM documents LEFT JOIN t ON documents.doc_id = t.doc_id""")
+def far_repeats(spark, sf_dir):
+    """Every fourth place and a reach of 1 KiB: documents are shorter than the strips that the default stride is for."""
+    return decisions.far_repeats(_docs(spark, sf_dir), 1024, 4).withColumnRenamed("payload_id", "doc_id")
+
+
+_RANDOM = """WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN array_to_string(list_transform(range(600), lambda i: upper(sha256(concat(page_id, ':', i)))), '') ELSE repeat(hex(encode(coalesce(html, ''))), 8) END AS h FROM pages),
+q AS (SELECT page_id, h, length(h) // 2 AS n FROM p),
+s AS (SELECT page_id, n, substring(h, 2 * i + 1, 2) AS byte FROM (SELECT page_id, h, n, unnest(range(0, n, greatest(1, n // 1024))) AS i FROM q WHERE n >= 8192)),
+sh AS (SELECT page_id, n, byte, count(*) AS c FROM s GROUP BY ALL),
+st AS (SELECT page_id, n, count(*) AS d, log2(sum(c)) - sum(c * log2(c)) / sum(c) + (count(*) - 1) / (2 * ln(2) * sum(c)) AS bits FROM sh GROUP BY page_id, n),
+m AS (SELECT page_id, n, i, substring(h, 2 * i + 1, 2) AS byte, CASE WHEN i + 8 <= n THEN substring(h, 2 * i + 1, 16) END AS k FROM (SELECT page_id, h, n, unnest(range(0, n, (n >> 11) | 1)) AS i FROM q WHERE n >= 16384)),
+mh AS (SELECT page_id, byte, count(*) AS c FROM m GROUP BY ALL),
+mt AS (SELECT page_id, count(*) AS d, log2(sum(c)) - sum(c * log2(c)) / sum(c) + (count(*) - 1) / (2 * ln(2) * sum(c)) AS bits FROM mh GROUP BY page_id),
+mr AS (SELECT page_id, count(DISTINCT k) < count(k) AS repeats FROM m GROUP BY page_id)
+SELECT q.page_id, coalesce(st.d > 208 AND st.bits + 160.0 / q.n + 0.02 + 0.12 >= 8, false) AS stored, coalesce(NOT repeats AND mt.d >= 96 AND mt.bits + 0.12 >= 8, false) AS skipped
+FROM q LEFT JOIN st ON q.page_id = st.page_id LEFT JOIN mt ON q.page_id = mt.page_id LEFT JOIN mr ON q.page_id = mr.page_id"""
+
+
+@query(_RANDOM)
 def random_payloads(spark, sf_dir):
-    """Text is never taken for random by either gate."""
-    rows = payloads(spark, sf_dir, "pages")
-    out = decisions.sampled_gate(rows).join(decisions.incompressible(rows), "payload_id")
-    return out.withColumnRenamed("payload_id", "page_id")
+    """Pages with even ids give way to 19,200 bytes of hashes; the others are repeated eight times, so that they are long enough to be judged."""
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.sha2(F.concat_ws(":", F.col("payload_id").cast("string"), i.cast("string")), 256)), ""))
+    rows = payloads(spark, sf_dir, "pages").withColumn("content", F.when(F.col("payload_id") % 2 == 0, noise).otherwise(F.unhex(F.repeat(F.hex(F.coalesce("content", F.lit(b""))), F.lit(8)))))
+    return decisions.judged(rows).withColumnRenamed("payload_id", "page_id")
 
 
 @query(f"""WITH {_BYTES}, h AS (SELECT doc_id, pos // 4096 AS block_no, byte, count(*) AS c FROM b GROUP BY ALL)
@@ -112,7 +166,7 @@ def block_entropy(spark, sf_dir):
 
 
 @query(f"""WITH {_BYTES}, h AS (SELECT doc_id, n, byte, count(*) AS c FROM b GROUP BY ALL),
-logs AS (SELECT k, round(256 * (8 - log2(greatest(1, k))))::BIGINT AS v FROM range(257) AS t(k))
+logs AS (SELECT k, floor(256 * (8 - log2(greatest(1, k))))::BIGINT AS v FROM range(257) AS t(k))
 SELECT doc_id, (sum(c * v) // 256)::BIGINT AS cost_bits FROM h JOIN logs ON k = greatest(1, c * 256 // n) GROUP BY doc_id""")
 def fixed_point_cost(spark, sf_dir):
     out = entropy.histograms(_docs(spark, sf_dir).where("n_bytes > 0"))
@@ -135,10 +189,13 @@ def fingerprint_distance(spark, sf_dir):
     return chunking.chunk_distances(_docs(spark, sf_dir)).withColumnRenamed("payload_id", "doc_id")
 
 
-@query()
-def pre_split_blocks(spark, sf_dir):
-    """Blocks of 32 KiB, so that documents have full ones."""
-    return chunking.pre_split(_docs(spark, sf_dir), 4, 32 << 10).withColumnRenamed("payload_id", "doc_id")
+@query(f"""WITH {_BYTES}, h AS (SELECT doc_id, pos // 1024 AS k, byte, count(*) AS c FROM b WHERE pos // 1024 < n // 1024 GROUP BY ALL),
+keys AS (SELECT DISTINCT z.doc_id, z.k + 1 AS k, z.byte FROM h z JOIN (SELECT DISTINCT doc_id, k FROM h) n ON n.doc_id = z.doc_id AND n.k = z.k + 1 UNION SELECT doc_id, k, byte FROM h WHERE k > 0)
+SELECT keys.doc_id, keys.k * 1024 AS byte_offset FROM keys LEFT JOIN h a ON a.doc_id = keys.doc_id AND a.k = keys.k AND a.byte = keys.byte
+LEFT JOIN h z ON z.doc_id = keys.doc_id AND z.k = keys.k - 1 AND z.byte = keys.byte GROUP BY keys.doc_id, keys.k HAVING sum(abs(coalesce(a.c, 0) - coalesce(z.c, 0))) >= 0.2 * 2 * 1024""")
+def content_changes(spark, sf_dir):
+    """At a fifth of the largest distance: texts are more alike than the payloads that the default is for."""
+    return chunking.content_changes(_docs(spark, sf_dir), least=0.2).withColumnRenamed("payload_id", "doc_id")
 
 
 @query()
@@ -146,10 +203,25 @@ def content_splits(spark, sf_dir):
     return chunking.content_splits(_docs(spark, sf_dir)).groupBy(F.col("payload_id").alias("doc_id")).agg(F.count("*").alias("n_splits"), F.max("split").alias("last_split"))
 
 
-@query("""SELECT page_id, greatest(1048576, least(1073741824, n // 16))::BIGINT AS job_size, greatest(1, ceil(n / greatest(1048576, n // 16)))::BIGINT AS n_jobs
-FROM (SELECT page_id, strlen(coalesce(html, '')) AS n FROM pages)""")
+@query("""SELECT page_id, job_size, greatest(1, ceil(n / job_size))::BIGINT AS n_jobs FROM (SELECT page_id, n, least(1073741824, greatest(1048576, (n + 15) // 16))::BIGINT AS job_size
+FROM (SELECT page_id, strlen(coalesce(html, '')) * 40009 AS n FROM pages))""")
 def job_grid(spark, sf_dir):
-    return chunking.jobs(payloads(spark, sf_dir, "pages")).withColumnRenamed("payload_id", "page_id")
+    """Of payloads 40,009 times as long as the pages, so that jobs of every size come up."""
+    rows = payloads(spark, sf_dir, "pages").withColumn("n_bytes", F.col("n_bytes") * 40009)
+    return chunking.jobs(rows).withColumnRenamed("payload_id", "page_id")
+
+
+@query(f"""WITH t(level, strategy) AS (VALUES {", ".join(f"({a}, '{b}')" for a, b, *_ in levels.LEVELS)}), p AS (SELECT strlen(coalesce(html, '')) * 40009 AS n FROM pages)
+SELECT level, sum(CASE WHEN strategy = 'btlazy' THEN 16777216 ELSE least(1073741824, greatest(4194304, (n + 15) // 16)) END)::BIGINT AS job_bytes FROM t, p GROUP BY level""")
+def level_job_sizes(spark, sf_dir):
+    rows = payloads(spark, sf_dir, "pages").select((F.col("n_bytes") * 40009).alias("n")).withColumn("t", F.explode(F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("strategy")) for a, b, *_ in levels.LEVELS])))
+    return rows.groupBy("t.level").agg(F.sum(chunking.level_job_size(F.col("t.strategy"), F.col("n"), 8, 4 << 20)).cast("long").alias("job_bytes"))
+
+
+@query("""WITH RECURSIVE e(epoch, byte_offset, job_size) AS (SELECT 0, 0::BIGINT, 1048576::BIGINT UNION ALL
+  SELECT epoch + 1, byte_offset + 8 * job_size, least(2 * job_size, (268435456 - 262144) // 8) FROM e WHERE epoch < 11) SELECT * FROM e""")
+def growing_jobs(spark, sf_dir):
+    return chunking.growing_jobs(spark)
 
 
 _GRAM5 = """WITH g AS (SELECT doc_id, i AS pos, substring(h, 2 * i + 1, 10) AS k FROM (SELECT doc_id, h, unnest(range(greatest(0, length(h) // 2 - 4))) AS i
@@ -285,8 +357,7 @@ def file_totals(spark, sf_dir):
     """Each payload framed twice around a skippable frame, listed, and summed by source."""
     rows = _framed(spark, sf_dir)
     rows = rows.withColumn("content", F.concat("content", frames.skippable_frame(F.encode(F.col("source"), "utf-8"), 3), "content"))
-    found = frames.frames(rows).join(rows.select("payload_id", "source"), "payload_id")
-    return frames.totals(found, "source").drop("compressed", "ratio")
+    return frames.totals(frames.frames(rows, "payload_id", "source"), "source").drop("compressed", "ratio")
 
 
 @query("SELECT doc_id, n AS bound FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)")
@@ -294,9 +365,200 @@ def decompress_bounds(spark, sf_dir):
     return frames.decompress_bound(frames.frames(_framed(spark, sf_dir)), "payload_id").withColumnRenamed("payload_id", "doc_id")
 
 
-@query()
+def _stored(spark, sf_dir, *keep: str, block: int = 1000) -> DataFrame:
+    """Documents as frames of raw blocks of 1,000 bytes: what a listing says of them can be computed without the codec."""
+    return _docs(spark, sf_dir, *keep).withColumn("content", frames.stored_frame(F.col("content"), block))
+
+
+_N = "(SELECT *, strlen(coalesce(text, '')) AS n FROM documents)"
+
+
+@query(f"""SELECT doc_id, k::INTEGER AS block_no, k = greatest(1, ceil(n / 1000)) - 1 AS last, 'raw' AS block_type, least(1000, n - 1000 * k)::INTEGER AS stored_size, (13 + 1003 * k)::BIGINT AS byte_offset
+FROM (SELECT *, unnest(range(greatest(1, ceil(n / 1000))::BIGINT)) AS k FROM {_N})""")
 def block_types(spark, sf_dir):
-    return frames.blocks(_framed(spark, sf_dir)).groupBy("block_type").agg(F.count("*").alias("n"), F.sum("stored_size").cast("long").alias("stored"))
+    return frames.blocks(_stored(spark, sf_dir)).drop("frame_no").withColumnRenamed("payload_id", "doc_id")
+
+
+@query(f"""SELECT source, count(*) AS frames, sum(13 + 3 * greatest(1, ceil(n / 1000)) + n)::BIGINT AS compressed, sum(n)::BIGINT AS decompressed, round(sum(n) / sum(13 + 3 * greatest(1, ceil(n / 1000)) + n), 6) AS ratio
+FROM {_N} GROUP BY source""")
+def stored_ratios(spark, sf_dir):
+    out = frames.totals(frames.frames(_stored(spark, sf_dir, "source"), "payload_id", "source"), "source")
+    return out.select("source", "frames", "compressed", "decompressed", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"""SELECT doc_id, (2 * (13 + 3 * greatest(1, ceil(n / 1000))) + 8 + strlen(coalesce(source, '')) + least(n, 131072))::BIGINT AS margin, n AS first_size
+FROM {_N}""")
+def in_place_margins(spark, sf_dir):
+    """Two frames around a skippable one; the size that the first frame declares is the bound that a caller asks for."""
+    rows = _stored(spark, sf_dir, "source")
+    rows = rows.withColumn("content", F.concat("content", frames.skippable_frame(F.encode(F.coalesce("source", F.lit("")), "utf-8"), 7), "content"))
+    found = frames.frames(rows)
+    first = F.max(F.when(F.col("frame_no") == 0, F.col("content_size"))).cast("long").alias("first_size")
+    return listing.in_place_margin(found, "payload_id").join(found.groupBy("payload_id").agg(first), "payload_id").withColumnRenamed("payload_id", "doc_id")
+
+
+@query("SELECT doc_id, (doc_id % 16)::INTEGER AS variant, coalesce(source, '') AS payload FROM documents")
+def skippable_payloads(spark, sf_dir):
+    """Sources as user data in skippable frames of every variant, between frames of the text, and read again."""
+    rows = _stored(spark, sf_dir, "source")
+    skips = F.element_at(F.array(*[frames.skippable_frame(F.encode(F.coalesce("source", F.lit("")), "utf-8"), k) for k in range(16)]), (F.col("payload_id") % 16 + 1).cast("int"))
+    rows = rows.withColumn("content", F.concat("content", skips, "content"))
+    out = listing.skippable_payloads(frames.frames(rows), rows)
+    return out.select(F.col("payload_id").alias("doc_id"), "variant", F.decode("payload", "utf-8").alias("payload"))
+
+
+_CASES = "CASE doc_id % 6 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} WHEN 4 THEN {} ELSE {} END"
+
+
+@query("SELECT doc_id, " + _CASES.format("'ok'", "'not zstd'", "'not zstd'", "'truncated'", "'frame error'", "'not zstd'") + """ AS verdict, doc_id % 6 = 1 AS incomplete_tail,
+  doc_id % 6 IN (0, 4) AS listed, doc_id % 6 = 0 AS counted FROM documents""")
+def listing_verdicts(spark, sf_dir):
+    """Whole frames, and frames with a short tail, behind other bytes, before a skippable frame that is cut off, cut off themselves, and
+    followed by other bytes."""
+    k, z = F.col("payload_id") % 6, F.col("content")
+    broken = F.when(k == 1, F.concat(z, F.lit(b"abc"))).when(k == 2, F.concat(F.lit(b"other"), z)).when(k == 3, F.concat(z, F.unhex(F.lit("5A2A4D18FF000000")), F.lit(b"cut off")))
+    broken = broken.when(k == 4, F.substring(z, F.lit(1), F.octet_length(z) - 1)).when(k == 5, F.concat(z, F.lit(b"more bytes"))).otherwise(z)
+    # a frame without its last byte: an empty one lacks a part of its block header
+    found = frames.frames(_stored(spark, sf_dir).withColumn("content", broken))
+    return listing.verdicts(found, "payload_id").withColumnRenamed("payload_id", "doc_id")
+
+
+@query("""WITH f AS (SELECT doc_id, doc_id % 3 AS a, (doc_id // 3) % 3 AS b, (doc_id // 9) % 3 AS c FROM documents),
+x AS (SELECT *, a <> 0 AND a <> b AS clash1, CASE WHEN a <> 0 AND a <> b THEN 0 ELSE b END AS s FROM f)
+SELECT doc_id, (CASE WHEN s <> 0 AND s <> c THEN 0 ELSE c END)::BIGINT AS dict_id, clash1 OR (s <> 0 AND s <> c) AS warned FROM x""")
+def shown_dictionaries(spark, sf_dir):
+    """Empty frames that name the dictionaries 0, 1 and 2 in every order."""
+    def frame(i):
+        return F.unhex(F.concat(F.lit("28B52FFD21"), F.lpad(F.hex(i.cast("long")), 2, "0"), F.lit("00010000")))
+
+    d = F.col("payload_id")
+    rows = _docs(spark, sf_dir).withColumn("content", F.concat(*[frame(F.floor(d / 3**k) % 3) for k in range(3)]))
+    return listing.shown_dictionary(frames.frames(rows), "payload_id").withColumnRenamed("payload_id", "doc_id")
+
+
+def _human_sql() -> str:
+    def text(bits: int, places: int) -> str:
+        v, u = f"(n::HUGEINT * {10**places})", f"{1 << bits}::HUGEINT"
+        whole = f"({v} // {u} + CASE WHEN 2 * ({v} % {u}) > {u} OR (2 * ({v} % {u}) = {u} AND ({v} // {u}) % 2 = 1) THEN 1 ELSE 0 END)"
+        return f"({whole})::VARCHAR" if not places else f"concat({whole} // {10**places}, '.', lpad(({whole} % {10**places})::VARCHAR, {places}, '0'))"
+
+    out = "concat(n, ' B')"
+    for name, bits in reversed(listing.PREFIXES):
+        u = f"{1 << bits}::HUGEINT"
+        out = f"CASE WHEN n >= {u} THEN concat(CASE WHEN n % {u} = 0 OR n >= 100 * {u} THEN {text(bits, 0)} WHEN n >= 10 * {u} THEN {text(bits, 1)} ELSE {text(bits, 2)} END, ' {name}') ELSE {out} END"
+    return f"SELECT doc_id, k::INTEGER AS k, n::BIGINT AS n, {out} AS shown FROM (SELECT doc_id, k, (strlen(coalesce(text, '')) + 3)::HUGEINT * (1::BIGINT << (7 * k)) AS n FROM documents, range(7) AS t(k))"
+
+
+@query(_human_sql())
+def human_sizes(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.col("payload_id").alias("doc_id"), "n_bytes", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    rows = rows.withColumn("n", (F.col("n_bytes") + 3) * F.element_at(F.array(*[F.lit(1 << (7 * k)).cast("long") for k in range(7)]), F.col("k") + 1))
+    return rows.select("doc_id", "k", "n", listing.human_size(F.col("n")).alias("shown"))
+
+
+_SUFFIX = list(listing.SUFFIXES) + ["B", "k", "T"]
+
+
+@query(f"""WITH u(i, suffix, unit) AS (VALUES {", ".join(f"({i}, '{s}', {1 << listing.SUFFIXES[s] if s in listing.SUFFIXES else 'NULL'})" for i, s in enumerate(_SUFFIX))})
+SELECT concat(n, suffix) AS text, coalesce(any_value(n::HUGEINT * unit), -1)::BIGINT AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) d JOIN u ON i = doc_id % {len(_SUFFIX)} GROUP BY ALL""")
+def parsed_sizes(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, _SUFFIX)), (F.col("payload_id") % len(_SUFFIX) + 1).cast("int"))
+    rows = _docs(spark, sf_dir).select(F.concat(F.col("n_bytes").cast("string"), suffix).alias("text")).distinct()
+    return rows.select("text", F.coalesce(listing.parse_size(F.col("text")), F.lit(-1)).alias("size"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN concat('content size mismatch: declared ', n, ', actual ', n + 1) END AS error FROM {_N}""")
+def content_size_checks(spark, sf_dir):
+    """Every seventh text is a byte longer than its frame says."""
+    rows = _docs(spark, sf_dir).select("payload_id", "n_bytes", frames.stored_frame(F.col("content")).alias("content"))
+    found = frames.frames(rows, "payload_id", "n_bytes")
+    actual = F.col("n_bytes") + F.when(F.col("payload_id") % 7 == 3, 1).otherwise(0)
+    return found.select(F.col("payload_id").alias("doc_id"), listing.size_error(F.col("content_size"), actual).alias("error"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents")
+def passed_through(spark, sf_dir):
+    """Every third text comes as it is, the others as frames; what is no frame is passed through."""
+    rows = _docs(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit(b"")))
+    rows = rows.withColumn("content", F.when(F.col("payload_id") % 3 == 0, F.col("content")).when(F.col("payload_id") % 3 == 1, frames.stored_frame(F.col("content"))).otherwise(codec.compressor()("content")))
+    return rows.select(F.col("payload_id").alias("doc_id"), F.md5(listing.decoded_or_same(F.col("content"))).alias("md5"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN md5(coalesce(text, '')) END AS md5, CASE WHEN doc_id % 4 = 3 THEN 'missing dictionary' END AS error FROM documents")
+def dictionary_lookup(spark, sf_dir):
+    """Frames that need one of two dictionaries, none, or one that the table hasn't; each is decoded with the row of its id."""
+    rows = _docs(spark, sf_dir).withColumn("content", F.coalesce("content", F.lit(b"")))
+    made = dictionaries.sample_dictionaries(3)
+    k = (F.col("payload_id") % 4).cast("int")
+    framed = F.when(k == 0, codec.compressor()("content"))
+    for i, d in enumerate(made.values()):
+        framed = framed.when(k == i + 1, codec.compressor(dictionary=d)("content"))
+    rows = rows.withColumn("content", framed)
+    found = frames.frames(rows).select("payload_id", "dict_id").join(rows.select("payload_id", "content"), "payload_id")
+    table = spark.createDataFrame(list(made.items())[:2], "dict_id long, dictionary binary")
+    return listing.decompressed_with(found, table).select(F.col("payload_id").alias("doc_id"), F.md5("decoded").alias("md5"), "error")
+
+
+@query(f"""SELECT doc_id, (CASE WHEN v < 256 THEN 1 WHEN v < 65536 THEN 2 WHEN v < 4294967296 THEN 4 ELSE 8 END)::INTEGER AS width, (length(bin(v + 2)) - 1)::INTEGER AS price,
+  4 * (n % 9) >= length(bin(v + 1)) - 1 + 7 AS pays FROM (SELECT doc_id, n, n * n * (doc_id % 5) AS v FROM {_N})""")
+def field_widths(spark, sf_dir):
+    v = F.col("n_bytes") * F.col("n_bytes") * (F.col("payload_id") % 5)
+    return _docs(spark, sf_dir).select(F.col("payload_id").alias("doc_id"), codes.field_width(v).alias("width"), codes.offset_price(v + 1).alias("price"), codes.pays_for_offset(F.col("n_bytes") % 9, v + 1, F.lit(False)).alias("pays"))
+
+
+@query("""SELECT doc_id, greatest(10, least(27, length(bin(greatest(n, 1)))))::INTEGER AS window_log, greatest(1000, n) AS decode_bound, CASE WHEN b * 50 <= a * 49 THEN 'shrink' ELSE 'keep' END AS reach
+FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n, strlen(coalesce(text, ''))::DOUBLE AS a, length(coalesce(text, ''))::DOUBLE AS b FROM documents)""")
+def patch_windows(spark, sf_dir):
+    """Windows for patching against each text, and the reach that is chosen if its bytes and its letters were the two costs."""
+    rows = _docs(spark, sf_dir, F.coalesce(F.char_length("text"), F.lit(0)).cast("double").alias("letters"))
+    reach = decisions.reach(F.col("n_bytes").cast("double"), F.col("letters"))
+    return rows.select(F.col("payload_id").alias("doc_id"), levels.patch_window_log(F.col("n_bytes")).alias("window_log"), levels.patch_decode_bound(F.lit(1000), F.col("n_bytes")).alias("decode_bound"), reach.alias("reach"))
+
+
+@query("""SELECT lang, round(exp(avg(ln(strlen(text) / length(text)))) - 1, 9) AS delta, count(*) AS n FROM documents WHERE length(coalesce(text, '')) > 0 GROUP BY lang""")
+def ratio_deltas(spark, sf_dir):
+    """The geometric mean of bytes by letters, less one, by language."""
+    rows = _docs(spark, sf_dir, "lang", F.coalesce(F.char_length("text"), F.lit(0)).alias("letters"))
+    out = entropy.geometric_mean_delta(rows, "n_bytes", "letters", "lang")
+    return out.select("lang", F.round("delta", 9).alias("delta"), "n")
+
+
+def _turn_codes(spark, sf_dir) -> DataFrame:
+    """Code histograms (role, channel, code, n) of the lengths of conversations' turns, as if they were lengths in sequences."""
+    n = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", n.alias("v"))
+    told = (("ll", codes.literal_length_code(F.col("v"))), ("ml", codes.match_length_code(F.col("v") + 3)), ("of", codes.offset_code(F.col("v") + 4)))
+    channel = F.array(*[F.struct(F.lit(c).alias("channel"), code.cast("int").alias("code")) for c, code in told])
+    return rows.select("role", F.explode(channel).alias("c")).groupBy("role", "c.channel", "c.code").agg(F.count("*").alias("n"))
+
+
+def _cost_sql() -> str:
+    ranges = ", ".join(f"('{c}', {k}, {v}, {v + (1 << b)})" for c, t in (("ll", codes.LITERAL_LENGTHS), ("ml", codes.MATCH_LENGTHS)) for k, (v, b) in enumerate(t))
+    norms = ", ".join(f"('{c}', {k}, {abs(v)}, {log})" for c, (log, t) in costs.DEFAULTS.items() for k, v in enumerate(t))
+    return f"""WITH r(channel, code, base, past) AS (VALUES {ranges}), d(channel, code, norm, log) AS (VALUES {norms}),
+price AS (SELECT channel, code, floor(256 * (8 - log2(norm << (8 - log))))::BIGINT AS price FROM d),
+v AS (SELECT role, strlen(coalesce(text, '')) AS v FROM conversations),
+c AS (SELECT role, channel, code FROM v JOIN r ON channel = 'll' AND v >= base AND v < past UNION ALL SELECT role, channel, code FROM v JOIN r ON channel = 'ml' AND v + 3 >= base AND v + 3 < past
+  UNION ALL SELECT role, 'of', length(bin(v + 4)) - 1 FROM v),
+h AS (SELECT role, channel, code, count(*) AS n FROM c GROUP BY ALL), whole AS (SELECT channel, code, sum(n) AS n FROM h GROUP BY ALL), total AS (SELECT channel, sum(n) AS total FROM whole GROUP BY channel),
+t AS (SELECT role, channel, count(*) AS n_codes, sum(h.n)::BIGINT AS n, max(code) AS largest, sum(h.n) * log2(sum(h.n)) - sum(h.n * log2(h.n)) AS entropy_bits,
+  CASE WHEN count(price) = count(*) THEN (sum(h.n * price) // 256)::BIGINT END AS default_bits, sum(h.n * log2(total / whole.n)) AS repeat_bits
+  FROM h LEFT JOIN price USING (channel, code) JOIN whole USING (channel, code) JOIN total USING (channel) GROUP BY ALL)
+SELECT role, channel, n_codes, n, round(entropy_bits, 2) AS entropy_bits, default_bits, round(entropy_bits + (largest + 1) * 6 + 8, 2) AS fresh_bits, round(repeat_bits, 2) AS repeat_bits,
+  CASE WHEN n_codes = 1 AND n > 2 THEN 'rle' WHEN repeat_bits <= coalesce(default_bits, 'inf'::DOUBLE) AND repeat_bits <= entropy_bits + (largest + 1) * 6 + 8 THEN 'repeat'
+    WHEN default_bits <= entropy_bits + (largest + 1) * 6 + 8 THEN 'predefined' ELSE 'fresh' END AS mode FROM t"""
+
+
+@query(_cost_sql())
+def sequence_costs(spark, sf_dir):
+    """Costs of each role's code histograms under a fresh table, the default one and the one of all roles, and the mode that is chosen."""
+    own = _turn_codes(spark, sf_dir)
+    whole = own.groupBy("channel", "code").agg(F.sum("n").alias("n"))
+    # one row per role, channel and code: some hundreds
+    previous = own.select("role").distinct().join(F.broadcast(whole), F.lit(True))
+    out = costs.channel_costs(own, "role").join(costs.repeat_costs(own, previous, "role"), ["role", "channel"])
+    mode = costs.table_mode(F.col("n_codes"), F.col("n"), F.col("fresh_bits"), F.col("default_bits"), F.col("repeat_bits"))
+    return out.select("role", "channel", "n_codes", "n", *[F.round(c, 2).alias(c) for c in ("entropy_bits", "fresh_bits", "repeat_bits")], "default_bits", mode.alias("mode"))
 
 
 @query("SELECT 'zstd' AS format, count(*) AS n FROM documents UNION ALL SELECT 'skippable', count(*) FROM documents UNION ALL SELECT 'gzip', count(*) FROM documents UNION ALL SELECT 'empty', count(*) FROM documents")

@@ -24,33 +24,57 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def per_payload(df: DataFrame, keep: str, solve: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """Rows that solve() makes of each payload's bytes (content), with its `keep` column before them."""
-    names = [part.split()[0] for part in schema.split(",")]
-    kind = dict(df.dtypes)[keep]
-    made = df.select(keep, "content").sparkSession.createDataFrame([], schema).schema
+def per_payload(df: DataFrame, keep: str | tuple[str, ...], solve: Callable[[np.ndarray], list[tuple] | tuple], schema: str) -> DataFrame:
+    """Rows that solve() makes of each payload's bytes (content), with its `keep` column (or columns) before them. solve() returns a list of
+    rows or, for many rows, a tuple of equally long columns."""
+    names, keep = [part.split()[0] for part in schema.split(",")], (keep,) if isinstance(keep, str) else tuple(keep)
+    kinds = ", ".join(f"{name} {dict(df.dtypes)[name]}" for name in keep)
+    made = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        arrow = [to_arrow_type(f.dataType) for f in made.fields]
         for b in batches:
             data, off = flat(b.column("content"))
-            rows, at = [], []
+            parts, at, n = [[] for _ in names], [], 0
             for i in range(b.num_rows):
                 new = solve(data[off[i] : off[i + 1]])
-                rows += new
-                at += [i] * len(new)
-                if len(rows) > 50_000:
-                    yield batch(b, at, rows, to_arrow_type)
-                    rows, at = [], []
-            yield batch(b, at, rows, to_arrow_type)
+                columns = new if isinstance(new, tuple) else list(zip(*new)) or [[] for _ in names]
+                size = len(columns[0])
+                if size:
+                    for part, c, kind in zip(parts, columns, arrow):
+                        part.append(pa.array(c, kind))
+                    at.append((i, size))
+                    n += size
+                if n > 100_000:
+                    yield batch(b, at, parts, arrow)
+                    parts, at, n = [[] for _ in names], [], 0
+            yield batch(b, at, parts, arrow)
+
+    def batch(b, at, parts, arrow):
+        rows = pa.array(np.repeat(*np.array(at, np.int64).reshape(-1, 2).T))
+        arrays = [pa.concat_arrays(part) if part else pa.array([], kind) for part, kind in zip(parts, arrow)]
+        return pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in keep), *arrays], [*keep, *names])
+
+    return df.select(*keep, "content").mapInArrow(run, f"{kinds}, {schema}")
+
+
+def per_run(df: DataFrame, solve: Callable[[np.ndarray, np.ndarray], tuple], schema: str, size: int = 4 << 20) -> DataFrame:
+    """Columns that solve() makes of all payloads (content) of a run of about `size` bytes, end to end, and their offsets."""
+    names = [part.split()[0] for part in schema.split(",")]
 
-    def batch(b, at, rows, to_arrow):
-        columns = list(zip(*rows)) or [[] for _ in names]
-        arrays = [pa.array(c, to_arrow(f.dataType)) for c, f in zip(columns, made.fields)]
-        return pa.RecordBatch.from_arrays([b.column(keep).take(pa.array(at, pa.int64())), *arrays], [keep, *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = flat(b.column("content"))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+                columns = solve(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                i = j
 
-    return df.select(keep, "content").mapInArrow(run, f"{keep} {kind}, {schema}")
+    return df.select("content").mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -102,11 +126,6 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def multiply_shift(values: np.ndarray, factor: int, bits: int) -> np.ndarray:
-    """The top `bits` bits of value * factor modulo 2**64."""
-    return (values * np.uint64(factor)) >> np.uint64(64 - bits)
-
-
 def distinct(counts: Column) -> Column:
     return F.size(F.filter(counts, lambda c: c > 0))
 

@@ -24,43 +24,53 @@ def compressor(level: int = 3, checksum: bool = True, dictionary: bytes | None =
     return compress
 
 
-def decompressor(dictionary: bytes | None = None, max_window: int = 1 << 27, max_bytes: int | None = None) -> Callable:
-    """A function to struct<content, error>: all frames of each payload, one after the other, skippable frames passed over.
+def decompressor(dictionary: bytes | None = None, max_window: int = 1 << 27, max_bytes: int | None = None, single_frame: bool = False) -> Callable:
+    """A function to struct<content, error>: all frames of each payload (or the first one), one after the other, skippable frames passed over.
 
     Frames that ask for a window above max_window, results above max_bytes, damaged or cut-off frames and bytes that are no frame
-    give a null content and a named error. A payload without frames is empty.
+    give a null content and a named error. No more than max_bytes and a part of a frame are ever held. A payload without frames is empty.
     """
     @F.pandas_udf("content binary, error string")
     def decompress(content: pd.Series) -> pd.DataFrame:
         import zstandard as z
 
+        from siltstone.operators.frames import walk
+
         known = z.ZstdCompressionDict(dictionary) if dictionary else None
         made = z.ZstdDecompressor(dict_data=known, max_window_size=max_window)
 
         def one(b: bytes | None) -> tuple[bytes | None, str | None]:
             if b is None:
                 return None, None
-            at, out = 0, []
-            while at < len(b):
-                magic = int.from_bytes(b[at : at + 4], "little")
-                if len(b) - at >= 4 and magic & 0xFFFFFFF0 == 0x184D2A50:
-                    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-                    if len(b) < at + 8 or end > len(b):
-                        return None, "truncated skippable frame"
-                    at = end
+            left, out, whole = max_bytes, [], memoryview(bytes(b))
+            for row, _ in walk(bytes(b)):
+                at, kind, size, error = row[1], row[2], row[4], row[-1]
+                if kind == "skippable" and not error:
                     continue
-                if magic != 0xFD2FB528:
-                    return None, "bad magic" if at == 0 else "trailing garbage"
-                frame = made.decompressobj()
+                if kind == "unknown":
+                    return None, "trailing garbage" if row[0] else "bad magic"
+                if kind == "skippable":
+                    return None, error
+                if left is not None and (row[5] or 0) > left:
+                    return None, "target too small"
                 try:
-                    out.append(frame.decompress(b[at:]))
+                    if left is None:
+                        frame = made.decompressobj()
+                        part = frame.decompress(whole[at : at + size])
+                        ended = frame.eof
+                    else:
+                        with made.stream_reader(whole[at : at + size], read_size=1 << 16) as reader:
+                            part = reader.read(left + 1)
+                        ended, left = not error, left - len(part)
+                        if left < 0:
+                            return None, "target too small"
                 except z.ZstdError as e:
-                    return None, _named(str(e))
-                if not frame.eof:
+                    return None, zstd_error(str(e))
+                if not ended:
                     return None, "truncated frame"
-                if max_bytes is not None and sum(map(len, out)) > max_bytes:
-                    return None, "target too small"
-                at = len(b) - len(frame.unused_data)
+                out.append(part)
+                if single_frame:
+                    break
             return b"".join(out), None
 
         return pd.DataFrame([one(b) for b in content], columns=["content", "error"])
@@ -68,7 +78,8 @@ def decompressor(dictionary: bytes | None = None, max_window: int = 1 << 27, max
     return decompress
 
 
-def _named(message: str) -> str:
+def zstd_error(message: str) -> str:
+    """A name for what the codec says."""
     for part, name in (("checksum", "wrong checksum"), ("too much memory", "window too large"), ("window", "window too large"), ("ictionary", "missing dictionary"), ("nsupported", "unsupported frame")):
         if part in message:
             return name

@@ -59,3 +59,18 @@ def descriptor_fields(byte: Column) -> dict[str, Column]:
 def compress_bound(n: Column) -> Column:
     """Most bytes that a payload of n bytes can take compressed."""
     return n + F.shiftright(n, 8) + F.when(n < (128 << 10), F.shiftright(F.lit(128 << 10) - n, 11)).otherwise(0)
+
+
+def field_width(value: Column) -> Column:
+    """Bytes of the narrowest field, of 1, 2, 4 or 8, that holds a number."""
+    return F.when(value < (1 << 8), 1).when(value < (1 << 16), 2).when(value < (1 << 32), 4).otherwise(8)
+
+
+def offset_price(distance: Column) -> Column:
+    """Bits that an offset is taken to cost."""
+    return offset_code(distance + 1)
+
+
+def pays_for_offset(length: Column, distance: Column, repeat: Column) -> Column:
+    """Whether a match saves more than its offset costs: a repeated offset, or 4 * length >= bits of the distance + 7."""
+    return repeat | (length * 4 >= offset_code(distance) + 7)

@@ -1,17 +1,16 @@
-"""Cutting payloads into blocks: fixed sizes, fingerprint borders, content-defined splits, and job grids."""
+"""Cutting payloads into blocks: fixed sizes, changes of content, content-defined splits, and job grids."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.bytesfn import per_payload
 
-BLOCK, CHUNK, SEGMENT = 128 << 10, 8 << 10, 512
-#: Sampling step and bucket bits of the fingerprints at efforts 1 to 4.
-EFFORTS = {1: (43, 8), 2: (11, 9), 3: (5, 10), 4: (1, 10)}
-_PAIR = np.uint32(0x9E3779B9)
+BLOCK = 128 << 10
+# Least and most bytes of a compression job, and bytes that all jobs of an epoch may hold while they wait.
+JOB_LEAST, JOB_MOST, JOB_BUFFER = 1 << 20, 1 << 30, 256 << 20
 
 
 def fixed_blocks(payloads: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -22,78 +21,25 @@ def fixed_blocks(payloads: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("payload_id", "block_no", at.alias("byte_offset"), F.least(F.lit(block), F.col("n_bytes") - at).cast("long").alias("size"))
 
 
-def fingerprint(data: np.ndarray, rate: int, bits: int) -> tuple[np.ndarray, int]:
-    """Event counts by bucket of every rate-th byte pair (at 8 bits: of the first byte), and the nominal number of events."""
-    at = np.arange(0, len(data) - 1, rate)
-    if bits == 8:
-        bucket = data[at]
-    else:
-        bucket = ((data[at].astype(np.uint32) | data[at + 1].astype(np.uint32) << np.uint32(8)) * _PAIR) >> np.uint32(32 - bits)
-    return np.bincount(bucket, minlength=1 << bits).astype(np.int64), (len(data) - 1) // rate
-
-
-def distance(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
-    return int(np.abs(a * nb - b * na).sum())
-
-
-def differ(a, na: int, b, nb: int, penalty: int) -> bool:
-    """Whether two fingerprints are far enough apart for a border: (14 + penalty) / 16 of their product."""
-    return distance(a, na, b, nb) >= na * nb * (14 + penalty) // 16
-
-
-def split_at(block: np.ndarray, rate: int, bits: int) -> int:
-    """Where a block should be cut: before the first chunk unlike all before it; its length if nowhere."""
-    past, n = fingerprint(block[:CHUNK], rate, bits)
-    penalty = 3
-    for at in range(CHUNK, len(block) - CHUNK + 1, CHUNK):
-        new, m = fingerprint(block[at : at + CHUNK], rate, bits)
-        if differ(past, n, new, m, penalty):
-            return at
-        past, n, penalty = past + new, n + m, max(0, penalty - 1)
-    return len(block)
-
-
-def split_from_borders(block: np.ndarray) -> int:
-    """A cheaper cut from the first, middle and last SEGMENT bytes only: at a quarter, half or three quarters, or nowhere."""
-    def count(part):
-        return np.bincount(part, minlength=256).astype(np.int64)
-
-    first, last = count(block[:SEGMENT]), count(block[-SEGMENT:])
-    if not differ(first, SEGMENT, last, SEGMENT, 0):
-        return len(block)
-    at = len(block) // 2 - SEGMENT // 2
-    middle = count(block[at : at + SEGMENT])
-    head, tail = distance(first, SEGMENT, middle, SEGMENT), distance(last, SEGMENT, middle, SEGMENT)
-    if abs(head - tail) < SEGMENT * SEGMENT // 3:
-        return len(block) // 2
-    return len(block) // 4 if head > tail else len(block) * 3 // 4
-
-
-def pre_split(payloads: DataFrame, effort: int = 4, block: int = BLOCK) -> DataFrame:
-    """payload_id, block_no, byte_offset, size, cut: full blocks are cut where their content changes (effort 0: from borders)."""
-    def solve(data):
-        out, at = [], 0
-        while at < len(data):
-            own = data[at : at + block]
-            size = len(own)
-            if size == block:
-                size = split_from_borders(own) if effort == 0 else split_at(own, *EFFORTS[effort])
-            out.append((len(out), at, size, size < len(own)))
-            at += size
-        return out
-
-    return per_payload(payloads, "payload_id", solve, "block_no int, byte_offset long, size long, cut boolean")
-
-
 def chunk_distances(payloads: DataFrame, chunk: int = 1024) -> DataFrame:
     """payload_id, chunk_no, distance of each full chunk's byte counts to the chunk's before it, scaled by both sizes."""
     def solve(data):
-        counts = [np.bincount(data[at : at + chunk], minlength=256).astype(np.int64) for at in range(0, len(data) - chunk + 1, chunk)]
-        return [(k, distance(counts[k - 1], chunk, counts[k], chunk)) for k in range(1, len(counts))]
+        n = len(data) // chunk
+        if n < 2:
+            return [], []
+        counts = np.bincount((np.arange(n * chunk) // chunk << 8) + data[: n * chunk], minlength=n << 8).reshape(n, 256)
+        return np.arange(1, n, dtype=np.int32), np.abs(np.diff(counts, axis=0)).sum(1) * chunk
 
     return per_payload(payloads, "payload_id", solve, "chunk_no int, distance long")
 
 
+def content_changes(payloads: DataFrame, chunk: int = 1024, least: float = 0.6) -> DataFrame:
+    """payload_id, byte_offset: where a payload's content changes: between neighbouring full chunks whose byte counts differ in a share of
+    `least` or more of what they could differ in. Payloads of fewer than two chunks have none."""
+    found = chunk_distances(payloads, chunk).where(F.col("distance") >= F.lit(least) * 2 * chunk * chunk)
+    return found.select("payload_id", (F.col("chunk_no").cast("long") * chunk).alias("byte_offset"))
+
+
 def gear_table(seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """256 pseudo-random 64-bit values by rule."""
     x = (np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
@@ -118,17 +64,36 @@ def content_splits(payloads: DataFrame, bits: int = 6) -> DataFrame:
     def solve(data):
         h = gear_hashes(data)
         at = np.flatnonzero((h[63:] & mask) == 0) + 63
-        return list(zip((at + 1).tolist(), h[at].view(np.int64).tolist()))
+        return at + 1, h[at].view(np.int64)
 
     return per_payload(payloads, "payload_id", solve, "split long, hash long")
 
 
 def job_size(n: Column, workers: int, overlap: int) -> Column:
-    """Bytes of a compression job: half a worker's share, at least 1 MiB and the overlap, at most 1 GiB."""
-    return F.least(F.lit(1 << 30), F.greatest(F.floor(n / (2 * workers)).cast("long"), F.lit(1 << 20), F.lit(overlap))).cast("long")
+    """Bytes of a compression job: half a worker's share, rounded up, at least 1 MiB and the overlap, at most 1 GiB."""
+    share = F.floor((n + (2 * workers - 1)) / (2 * workers)).cast("long")
+    return F.least(F.lit(JOB_MOST), F.greatest(share, F.lit(max(JOB_LEAST, overlap)))).cast("long")
+
+
+def level_job_size(strategy: Column, n: Column, workers: int, overlap: int) -> Column:
+    """As job_size(); the binary-tree lazy strategy has four overlaps for a job, however many workers there are."""
+    pinned = min(JOB_MOST, max(JOB_LEAST, 4 * overlap))
+    return F.when(strategy == "btlazy", F.lit(pinned).cast("long")).otherwise(job_size(n, workers, overlap))
 
 
 def jobs(payloads: DataFrame, workers: int = 8, overlap: int = 1 << 18) -> DataFrame:
     """payload_id, job_size, n_jobs."""
     size = job_size(F.col("n_bytes"), workers, overlap)
     return payloads.select("payload_id", size.alias("job_size"), F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / size)).cast("long").alias("n_jobs"))
+
+
+def growing_jobs(spark: SparkSession, overlap: int = 1 << 18, jobs_of_epoch: int = 8, epochs: int = 12) -> DataFrame:
+    """epoch, byte_offset, job_size: the grid of a stream of unknown length. Each epoch has as many equal jobs; their size doubles from epoch
+    to epoch, up to what the buffer of an epoch can hold."""
+    cap = max(JOB_LEAST, max(0, JOB_BUFFER - overlap) // jobs_of_epoch)
+    first = min(cap, max(JOB_LEAST, overlap))
+    size = F.least(F.lit(cap), F.lit(first) * F.pow(F.lit(2.0), F.least(F.col("epoch"), F.lit(30)))).cast("long")
+    rows = spark.range(epochs).select(F.col("id").cast("int").alias("epoch")).withColumn("job_size", size)
+    # as many rows as there are epochs, so one window is small
+    before = F.coalesce(F.sum(F.col("job_size") * jobs_of_epoch).over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("epoch", before.cast("long").alias("byte_offset"), "job_size")

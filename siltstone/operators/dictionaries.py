@@ -15,19 +15,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.bytesfn import grams, per_payload
+from siltstone.functions.bytesfn import grams, per_run
 
 #: Segment sizes tried; bytes of samples that a training set may hold.
 SIZES, TRAINING_BYTES, K = (50, 537, 1024, 1511, 2000), 8 << 20, 8
 
 
 def kmer_counts(samples: DataFrame, least: int = 1) -> DataFrame:
-    """kmer (8 bytes, little-endian long), n: k-mers within samples, over all of them, at least `least` times."""
-    def solve(data):
-        values, counts = np.unique(grams(data, K), return_counts=True)
-        return list(zip(values.view(np.int64).tolist(), counts.tolist()))
-
-    each = per_payload(samples, "payload_id", solve, "kmer long, n long")
+    """kmer (8 bytes, little-endian long), n: k-mers within samples, over all of them, at least `least` times. Counted over runs of
+    samples first, so a row is shuffled for each distinct k-mer of a run."""
+    def solve(data, off):
+        g = grams(data, K)
+        inside = np.ones(len(g), bool)
+        for border in off[1:-1]:
+            inside[max(0, border - K + 1) : border] = False
+        values, counts = np.unique(g[inside], return_counts=True)
+        return values.view(np.int64), counts.astype(np.int64)
+
+    each = per_run(samples, solve, "kmer long, n long")
     return each.groupBy("kmer").agg(F.sum("n").cast("long").alias("n")).where(F.col("n") >= least)
 
 
@@ -90,7 +95,7 @@ def training_set(samples: DataFrame, most: int = TRAINING_BYTES) -> DataFrame:
     return samples.where(hashed < share * 1_000_003).where("n_bytes > 0").select("payload_id", "content", (hashed % 4 == 3).alias("held"))
 
 
-def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZES, level: int = 3, formatted: bool = False) -> DataFrame:
+def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZES, level: int = 3) -> DataFrame:
     """k, eval_bytes, dict_bytes, content: for each viable segment size the dictionary and the compressed size of all held-out
     samples of the table (every fourth by hash) with it, the best first (ties: smaller k)."""
     ks = F.explode(F.array(*[F.lit(k) for k in sizes if K <= k <= size]))
@@ -103,8 +108,6 @@ def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZ
         body = np.frombuffer(b"".join(frame["content"][~held]), np.uint8)
         k = int(key[0])
         made = select_segments(body, k, size) if len(body) >= k else b""
-        if formatted and len(made) >= 256:
-            made = finalized(made, list(frame["content"][~held]), size, level)
         return pd.DataFrame({"k": [k], "dict_bytes": [len(made)], "content": [made]})
 
     # one row for each k, at most `size` bytes: computed once, and sent to every task
@@ -132,14 +135,17 @@ def train(samples: DataFrame, size: int = 16 << 10, sizes: tuple[int, ...] = SIZ
     return found.join(sums, "k").select("k", "eval_bytes", "dict_bytes", "content").orderBy("eval_bytes", "k")
 
 
-def finalized(content: bytes, samples: list[bytes], size: int, level: int) -> bytes:
-    """A dictionary with entropy tables for the samples, around the given content where the library can, else trained by it."""
+def sample_dictionaries(n: int, size: int = 2048) -> dict[int, bytes]:
+    """n small dictionaries of made-up lines, by their ids: 40001 and on."""
     import zstandard as z
 
-    try:
-        return z.train_dictionary(size, samples, level=level).as_bytes()
-    except z.ZstdError:
-        return content
+    out = {}
+    for k in range(n):
+        rng = np.random.default_rng(k)
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(200)]
+        lines = [" ".join(words[w] for w in rng.zipf(1.5, 30) % 200).encode() for _ in range(400)]
+        out[40001 + k] = z.train_dictionary(size, lines, dict_id=40001 + k, level=3).as_bytes()
+    return out
 
 
 def dictionary_kind(content: bytes) -> tuple[str, int]:

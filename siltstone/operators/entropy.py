@@ -6,10 +6,12 @@ that array, so no byte is ever a row and nothing is shuffled except what is grou
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.bytesfn import byte_counts, distinct, entropy_bits, per_payload, strided_counts, total
+from siltstone.functions.bytesfn import byte_counts, distinct, entropy_bits, per_payload, per_run, strided_counts, total
 
 #: Bits a fresh literals table is taken to cost, and the share of a payload that saving must exceed.
 DESCRIPTION_BITS, SAVING = 160.0, 0.02
@@ -21,9 +23,13 @@ def histograms(payloads: DataFrame) -> DataFrame:
 
 
 def byte_histogram(payloads: DataFrame) -> DataFrame:
-    """byte, n over all payloads."""
-    each = histograms(payloads).select(F.posexplode("counts").alias("byte", "n"))
-    return each.where("n > 0").groupBy("byte").agg(F.sum("n").cast("long").alias("n"))
+    """byte, n over all payloads: 256 rows at most are shuffled for each run of payloads."""
+    def solve(data, off):
+        counts = np.bincount(data, minlength=256)
+        at = np.flatnonzero(counts)
+        return at.astype(np.int32), counts[at].astype(np.int64)
+
+    return per_run(payloads, solve, "byte int, n long").groupBy("byte").agg(F.sum("n").cast("long").alias("n"))
 
 
 def payload_entropy(payloads: DataFrame) -> DataFrame:
@@ -44,11 +50,16 @@ def sampled_distinct(payloads: DataFrame, target: int = 11) -> DataFrame:
 
 def wide_alphabet(payloads: DataFrame, probe: int = PROBE, least: int = WIDE) -> DataFrame:
     """wide: whether the first, middle or last `probe` bytes have `least` distinct values. Shorter payloads are probed whole."""
-    n, size = F.octet_length("content"), F.lit(probe)
-    middle = F.greatest(F.lit(0), F.floor(n / 2).cast("int") - probe // 2)
-    starts = (F.lit(0), middle, F.greatest(F.lit(0), n - probe))
-    probes = [distinct(byte_counts(F.substring("content", s.cast("int") + 1, size))) for s in starts]
-    return payloads.withColumn("wide", F.coalesce(F.greatest(*probes) >= least, F.lit(False)))
+    @F.pandas_udf("int")
+    def most(content: pd.Series) -> pd.Series:
+        def one(b):
+            data = np.frombuffer(b or b"", np.uint8)
+            starts = (0, max(0, len(data) // 2 - probe // 2), max(0, len(data) - probe))
+            return max(np.count_nonzero(np.bincount(data[s : s + probe], minlength=256)) for s in starts)
+
+        return content.map(one)
+
+    return payloads.withColumn("wide", most("content") >= least)
 
 
 def uniform(payloads: DataFrame) -> DataFrame:
@@ -58,8 +69,6 @@ def uniform(payloads: DataFrame) -> DataFrame:
 
 def block_entropy(payloads: DataFrame, block: int = 1 << 17) -> DataFrame:
     """payload_id, block_no, n_bytes, n_distinct, bits of each block of a payload."""
-    import numpy as np
-
     def solve(data):
         out = []
         for k, at in enumerate(range(0, len(data), block)):
@@ -85,10 +94,10 @@ def fixed_point_bits(counts: Column) -> Column:
 
 
 def inverse_log(k: int) -> int:
-    """round(256 * -log2(k / 256)); probability 0 counts as 1 / 256."""
+    """256 * -log2(k / 256), rounded down; probability 0 counts as 1 / 256."""
     from math import log2
 
-    return int(round(256 * (8 - log2(max(1, k)))))
+    return int(256 * (8 - log2(max(1, k))))
 
 
 def geometric_mean_delta(pairs: DataFrame, ours: str, theirs: str, *by: str) -> DataFrame:

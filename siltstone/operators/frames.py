@@ -100,12 +100,12 @@ def walk(b: bytes) -> Iterator[tuple[tuple, list[tuple]]]:
         at, no = p, no + 1
 
 
-def frames(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
-    """One row for each frame and skippable frame of each payload (content)."""
+def frames(payloads: DataFrame, key: str = "payload_id", *keep: str) -> DataFrame:
+    """One row for each frame and skippable frame of each payload (content), with the columns in keep."""
     def solve(data: np.ndarray) -> list[tuple]:
         return [(*row[:5], None if row[5] is None else str(row[5]), *row[6:]) for row, _ in walk(data.tobytes())]
 
-    out = per_payload(payloads, key, solve, FRAME.replace("decimal(20,0)", "string"))  # sizes go up to 2**64 - 1
+    out = per_payload(payloads, (key, *keep), solve, FRAME.replace("decimal(20,0)", "string"))  # sizes go up to 2**64 - 1
     return out.withColumn("content_size", F.col("content_size").cast("decimal(20,0)"))
 
 
@@ -134,11 +134,22 @@ def decompress_bound(found: DataFrame, *by: str) -> DataFrame:
     return found.where("kind = 'frame'").groupBy(*by).agg(F.sum(most).cast("long").alias("bound"))
 
 
-def decompression_margin(found: DataFrame, *by: str) -> DataFrame:
-    """Bytes that decoding in place needs beyond the result: headers, checksums, block headers and one block."""
-    own = F.when(F.col("kind") == "skippable", F.col("compressed_size")).otherwise(F.col("header_size") + F.when(F.col("has_checksum"), 4).otherwise(0) + 3 * F.col("n_blocks"))
-    most = F.max(F.when(F.col("kind") == "frame", F.least(F.coalesce("window_size", F.lit(BLOCK_MAX)), F.lit(BLOCK_MAX))))
-    return found.groupBy(*by).agg((F.sum(own) + F.coalesce(most, F.lit(0))).cast("long").alias("margin"))
+def stored_frame(content: Column, block: int = BLOCK_MAX) -> Column:
+    """A frame that holds content as it is, in raw blocks of at most `block` bytes, with its size in eight bytes and no checksum: level 0.
+    Null content is empty."""
+    content = F.coalesce(content, F.lit(b""))
+    n = F.octet_length(content)
+    size = F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 8 * k).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for k in range(8)])
+
+    def one(k: Column) -> Column:
+        at = k * block
+        own = F.least(F.lit(block), n - at)
+        head = F.shiftleft(own, 3) + F.when(at + block >= n, 1).otherwise(0)
+        text = F.concat(*[F.lpad(F.hex(F.shiftright(head, 8 * i).bitwiseAND(F.lit(255)).cast("long")), 2, "0") for i in range(3)])
+        return F.concat(text, F.hex(F.substring(content, (at + 1).cast("int"), own.cast("int"))))
+
+    last = F.greatest(F.lit(0), F.floor((n - 1) / block).cast("int"))
+    return F.unhex(F.concat(F.lit("28B52FFDE0"), size, F.array_join(F.transform(F.sequence(F.lit(0), last), one), "")))
 
 
 def skippable_frame(content: Column, variant: int = 0) -> Column:

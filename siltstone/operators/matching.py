@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.bytesfn import grams, per_payload
 from siltstone.functions.codes import offset_code
-from siltstone.operators.chunking import content_splits
+from siltstone.operators.chunking import gear_hashes
+
+
+#: Candidates that a split is compared with, the newest: the rows of the search table's buckets.
+CANDIDATES = 16
 
 
 def previous(data: np.ndarray, k: int) -> np.ndarray:
@@ -45,7 +49,7 @@ def candidates(payloads: DataFrame, k: int = 5) -> DataFrame:
     def solve(data):
         prev = previous(data, k)
         at = np.flatnonzero(prev >= 0)
-        return list(zip(at.tolist(), prev[at].tolist()))
+        return at, prev[at]
 
     return per_payload(payloads, "payload_id", solve, "pos long, prev long")
 
@@ -74,7 +78,7 @@ def newest_candidates(payloads: DataFrame, k: int = 5, depth: int = 4) -> DataFr
 
 
 def pays(length: int, distance: int, repeat: bool = False) -> bool:
-    """Whether a match saves more than its offset costs: a repeated offset, or 4 * length >= bits of the distance + 7."""
+    """codes.pays_for_offset() of numbers."""
     return repeat or 4 * length >= distance.bit_length() - 1 + 7
 
 
@@ -133,11 +137,26 @@ def twins(payloads: DataFrame, window: int = 64) -> DataFrame:
 
 
 def long_distance(payloads: DataFrame, bits: int = 6, least: int = 64, reach: int = 1 << 27) -> DataFrame:
-    """payload_id, split, distance: content-defined splits whose hash was seen before in the payload, at least `least` and at most
-    `reach` bytes back: the latest. The hash covers the 64 bytes before a split, so the splits are matches of 64 bytes."""
-    w = Window.partitionBy("payload_id", "hash").orderBy("split")
-    found = content_splits(payloads, bits).withColumn("distance", F.col("split") - F.lag("split").over(w))
-    return found.where(f"distance between {least} and {reach}").select("payload_id", "split", "distance")
+    """payload_id, split, distance, length: for each content-defined split that was seen before in the payload, from 1 to `reach` bytes back,
+    the candidate whose bytes run on the longest after the split, the farthest of equally long ones; matches of less than `least` bytes, counted from
+    64 bytes before the split, are none. Candidates are the newest CANDIDATES splits with the same 64 bytes before them, as a bucket of a search table holds."""
+    mask = np.uint64(((1 << bits) - 1) << (64 - bits))
+
+    def solve(data):
+        h = gear_hashes(data)
+        at = np.flatnonzero((h[63:] & mask) == 0) + 64
+        raw, seen, out = data.tobytes(), {}, []
+        for p in at.tolist():
+            own, best = seen.setdefault(raw[p - 64 : p], []), (0, 0)
+            for q in own[-CANDIDATES:]:
+                if p - q <= reach and (n := 64 + match_length(raw, p, q)) > best[0]:
+                    best = (n, p - q)
+            own.append(p)
+            if best[0] >= least:
+                out.append((p, best[1], best[0]))
+        return out
+
+    return per_payload(payloads, "payload_id", solve, "split long, distance long, length long")
 
 
 def resolve_repeats(sequences: DataFrame) -> DataFrame:

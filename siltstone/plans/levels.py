@@ -29,6 +29,11 @@ def patch_window_log(n_bytes: Column) -> Column:
     return F.greatest(F.lit(10), F.least(F.lit(27), F.length(F.bin(F.greatest(n_bytes, F.lit(1))))))
 
 
+def patch_decode_bound(limit: Column, n_bytes: Column) -> Column:
+    """Largest window that decoding against a reference of n bytes must allow."""
+    return F.greatest(limit, n_bytes)
+
+
 def consecutive_lanes(payloads: DataFrame, lanes: int) -> DataFrame:
     """payload_id, lane: the i-th of n payloads, by id, is in lane i * lanes div n. Ids are numbered by range, so no task gets all."""
     n = payloads.count()
@@ -36,14 +41,27 @@ def consecutive_lanes(payloads: DataFrame, lanes: int) -> DataFrame:
     return numbered.select("payload_id", F.expr(f"cast(row_no * {lanes} div {max(1, n)} as int)").alias("lane"))
 
 
+#: Rows of a range that is numbered in one task.
+ROWS_OF_RANGE = 2_000_000
+
+
+def _place(key: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are less than key, by a tree of comparisons as deep as their logarithm."""
+    def between(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(key > cuts[middle], between(middle + 1, hi)).otherwise(between(lo, middle))
+
+    return between(0, len(cuts))
+
+
 def numbered_rows(rows: DataFrame, key: str) -> DataFrame:
     """rows with row_no from 0 in order of key: numbers within ranges of it, plus the counts of the ranges before."""
-    spark = rows.sparkSession
-    cuts = sorted(set(rows.approxQuantile(key, [i / 64 for i in range(1, 64)], 0.01)))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(key) > c).cast("int")
-    placed = rows.withColumn("part", part)
+    ranges = max(64, -(-rows.count() // ROWS_OF_RANGE))
+    cuts = sorted(set(rows.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.3 / ranges)))
+    # the number of cuts below a key, by halving: a range's number is its place among the sorted cuts
+    placed = rows.withColumn("part", _place(F.col(key), cuts))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = placed.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)

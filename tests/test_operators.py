@@ -109,16 +109,70 @@ def test_entropy_of_known_payloads(spark):
     assert got == {0: (0, 0.0, True), 1: (1, 0.0, True), 2: (256, 8192.0, True), 3: (2, 1024.0, False)}
 
 
-def test_fingerprint_split_finds_the_border(spark):
-    rng = np.random.default_rng(3)
-    words = rng.choice([b"plain", b"english", b"words", b"of", b"many", b"kinds"], 40_000)
-    alike = b" ".join(words.tolist())[: 128 << 10]
-    glued = alike[: 64 << 10] + rng.bytes(64 << 10)
-    for effort in (1, 2, 3, 4):
-        rows = chunking.pre_split(table(spark, [glued, alike]), effort).orderBy("payload_id", "block_no").collect()
-        assert [(r.payload_id, r.byte_offset, r.size) for r in rows] == [(0, 0, 64 << 10), (0, 64 << 10, 64 << 10), (1, 0, 128 << 10)]
-    assert chunking.split_from_borders(np.frombuffer(glued, np.uint8)) in (32 << 10, 64 << 10, 96 << 10)
-    assert chunking.split_from_borders(np.frombuffer(alike, np.uint8)) == 128 << 10
+def test_content_changes(spark):
+    rng = np.random.default_rng(4)
+    glued = rng.integers(97, 105, 64 << 10).astype(np.uint8).tobytes() + rng.integers(0, 10, 64 << 10).astype(np.uint8).tobytes()
+    alike = rng.integers(97, 105, 128 << 10).astype(np.uint8).tobytes()
+    rows = chunking.content_changes(table(spark, [glued, alike, b"", b"short"])).collect()
+    assert [(r.payload_id, r.byte_offset) for r in rows] == [(0, 64 << 10)]
+
+
+def test_job_sizes(spark):
+    """As the reference rounds: a share is rounded up, so no more jobs than twice the workers."""
+    n = [1, (1 << 20) * 16, (1 << 20) * 16 + 1, 1 << 36]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "payload_id long, n_bytes long")
+    got = [(r.job_size, r.n_jobs) for r in chunking.jobs(df).orderBy("payload_id").collect()]
+    assert got == [(1 << 20, 1), (1 << 20, 16), ((1 << 20) + 1, 16), (1 << 30, 64)]
+
+
+def test_long_distance_matches_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    part = rng.integers(97, 123, 700).astype(np.uint8).tobytes()
+    data = part + rng.integers(97, 123, 900).astype(np.uint8).tobytes() + part[:500] + b"." + part[100:] + b"-" + part
+    h, out, seen = chunking.gear_hashes(np.frombuffer(data, np.uint8)), [], []
+    for p in range(64, len(data) + 1):
+        if int(h[p - 1]) >> 58 == 0:
+            best = (0, 0)
+            for q in seen:
+                if data[q - 64 : q] == data[p - 64 : p]:
+                    k = 0
+                    while p + k < len(data) and data[q + k] == data[p + k]:
+                        k += 1
+                    if k + 64 > best[0]:
+                        best = (k + 64, p - q)
+            if best[0]:
+                out.append((p, best[1], best[0]))
+            seen.append(p)
+    got = sorted((r.split, r.distance, r.length) for r in matching.long_distance(table(spark, [data])).collect())
+    assert got == out and len(out) > 5
+
+
+def test_decompression_stops_at_its_bound(spark):
+    df = table(spark, [bytes(5000), b"a" * 100]).withColumn("z", codec.compressor()("content"))
+    got = df.select(codec.decompressor(max_bytes=1000)("z").alias("d")).select("d.*").collect()
+    assert sorted((r.error or "", len(r.content or b"")) for r in got) == [("", 100), ("target too small", 0)]
+    two = df.select(F.concat("z", "z").alias("z"))
+    assert sorted(len(r.content) for r in two.select(codec.decompressor(single_frame=True)("z").alias("d")).select("d.*").collect()) == [100, 5000]
+    assert [r.error for r in two.select(codec.decompressor(max_bytes=150)("z").alias("d")).select("d.*").collect()] == ["target too small"] * 2
+
+
+def test_dictionaries_by_shuffle(spark, monkeypatch):
+    from siltstone.operators import listing
+
+    made = dictionaries.sample_dictionaries(2)
+    rows = [(i, i % 3 and 40000 + i % 3, codec_frame(b"text %d" % i, made.get(40000 + i % 3))) for i in range(30)] + [(30, 7, b""), (31, None, None)]
+    df = spark.createDataFrame(rows, "payload_id long, dict_id long, content binary")
+    table_ = spark.createDataFrame(list(made.items()), "dict_id long, dictionary binary")
+    want = sorted(map(str, listing.decompressed_with(df, table_).collect()))
+    monkeypatch.setattr(listing, "SENT", -1)
+    assert sorted(map(str, listing.decompressed_with(df, table_).collect())) == want
+    assert sum("text" in w for w in want) == 30 and sum("missing dictionary" in w for w in want) == 1
+
+
+def codec_frame(content, dictionary):
+    import zstandard as z
+
+    return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionary) if dictionary else None).compress(content)
 
 
 def test_gear_hash_is_the_rolling_one():
@@ -208,8 +262,8 @@ def test_gates_know_random_from_text(spark):
     words = b" ".join(rng.choice([b"some", b"words", b"of", b"text"], 20_000).tolist())
     noise = rng.bytes(100_000)
     df = table(spark, [noise, words, noise[:30_000] * 2, b"", noise[:100], bytes(50_000)])
-    assert [r.stored for r in decisions.sampled_gate(df).orderBy("payload_id").collect()] == [True, False, True, False, False, False]
-    assert [r.skipped for r in decisions.incompressible(df).orderBy("payload_id").collect()][:2] == [True, False]
+    told = decisions.judged(df).orderBy("payload_id").collect()
+    assert [r.stored for r in told] == [True, False, True, False, False, False] and [r.skipped for r in told][:2] == [True, False]
     kinds = decisions.stores(df).orderBy("payload_id").collect()
     assert [r.store for r in kinds] == ["row", "chain", "row", "chain", "row_head" if kinds[4].head_distinct < 96 else "row", "chain"]
 
