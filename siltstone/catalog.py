@@ -625,3 +625,47 @@ def chunked_streams(spark, sf_dir):
     """Pages as streams of 1 KiB chunks, encoded and decoded chunk by chunk."""
     back = chunks.decode_stream(chunks.encode_stream(chunks.chunked(payloads(spark, sf_dir, "pages"), 1024)))
     return back.groupBy("stream_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+@query(f"""WITH {_BYTES}, t AS (SELECT doc_id, max(byte) AS top, any_value(n) AS n FROM b GROUP BY doc_id HAVING any_value(n) > 1)
+SELECT doc_id, least(11, greatest(5, least(length(bin(n)), length(bin(greatest(top, 1))) + 1), least(11, greatest(length(bin(greatest(n - 1, 1))) - 2, 0))))::INTEGER AS log FROM t""")
+def literal_logs(spark, sf_dir):
+    rows = entropy.histograms(_docs(spark, sf_dir).where("n_bytes > 1"))
+    top = F.array_max(F.transform("counts", lambda c, i: F.when(c > 0, i)))
+    return rows.select(F.col("payload_id").alias("doc_id"), tables.literal_log(F.col("n_bytes"), top).cast("int").alias("log"))
+
+
+@query(f"""WITH {_BYTES}, h AS (SELECT source, byte AS symbol, count(*) AS n FROM b JOIN documents USING (doc_id) GROUP BY ALL),
+t AS (SELECT *, count(*) OVER (PARTITION BY source) AS live, row_number() OVER (PARTITION BY source ORDER BY n DESC, symbol) AS place FROM h)
+SELECT source, symbol, n, (1 + CASE WHEN place = 1 THEN greatest(32, 1 << length(bin(greatest(live - 1, 1)))) - live ELSE 0 END)::BIGINT AS norm FROM t""")
+def flat_tables(spark, sf_dir):
+    return tables.flat_counts(_source_hist(spark, sf_dir), "source").select("source", "symbol", "n", F.col("norm").cast("long").alias("norm"))
+
+
+@query(f"""WITH {_BYTES}, h AS (SELECT source, byte, count(*) AS n FROM b JOIN documents USING (doc_id) GROUP BY ALL), w AS (SELECT byte, sum(n) AS n FROM h GROUP BY byte), total AS (SELECT sum(n) AS n FROM w),
+t AS (SELECT source, sum(h.n) AS n, floor((sum(h.n) * log2(sum(h.n)) - sum(h.n * log2(h.n))) / 8) AS fresh, floor(sum(h.n * log2(total.n / w.n)) / 8) AS old FROM h JOIN w USING (byte), total GROUP BY source)
+SELECT source, fresh::BIGINT AS fresh, old::BIGINT AS old, 128 + 12 >= n OR old <= 128 + fresh AS keeps FROM t""")
+def kept_tables(spark, sf_dir):
+    """For each source whether the table of all sources would be kept, with a description of 128 bytes for a table of its own."""
+    own = _source_hist(spark, sf_dir)
+    # 256 rows at most
+    whole = own.groupBy("symbol").agg(F.sum("n").alias("all"))
+    total = F.broadcast(whole.agg(F.sum("all").alias("total")))
+    rows = own.join(F.broadcast(whole), "symbol").join(total, F.lit(True))
+    n = F.sum("n")
+    out = rows.groupBy("source").agg(n.alias("n"), F.floor((n * F.log2(n) - F.sum(F.col("n") * F.log2("n"))) / 8).alias("fresh"), F.floor(F.sum(F.col("n") * F.log2(F.col("total") / F.col("all"))) / 8).alias("old"))
+    return out.select("source", "fresh", "old", tables.keeps_table(F.lit(128), F.col("n"), F.col("old"), F.col("fresh")).alias("keeps"))
+
+
+@query(_HEAD + f""", t(level, strategy, window_log, far) AS (VALUES {", ".join(f"({a}, '{b}', {c}, {str(d).lower()})" for a, b, c, d in levels.LEVELS)}),
+d AS (SELECT documents.doc_id, strlen(coalesce(text, '')) * 9 AS n, coalesce(d, 0) AS d FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id)
+SELECT level, CASE WHEN d >= 48 AND ((level = 4 AND n <= 16384) OR (level BETWEEN 5 AND 10 AND n <= 131072)) THEN 'btlazy' WHEN level BETWEEN 11 AND 17 AND n <= 131072 THEN 'opt' ELSE strategy END AS chosen,
+  count(*) AS n, count(*) FILTER (WHERE far AND doc_id % 2 = 0 AND (1 << window_log) >= 33554432) AS far FROM t, d GROUP BY ALL""")
+def small_strategies(spark, sf_dir):
+    """Strategies that each level takes for the documents, as if they were nine times as long, and how many would be searched for long-distance
+    matches if that were allowed for every other one."""
+    rows = decisions.stores(_docs(spark, sf_dir)).select("payload_id", (F.col("n_bytes") * 9).alias("n_bytes"), "head_distinct")
+    rows = rows.withColumn("t", F.explode(F.array(*[F.struct(F.lit(a).alias("level"), F.lit(b).alias("strategy"), F.lit(1 << c).cast("long").alias("window"), F.lit(d).alias("far")) for a, b, c, d in levels.LEVELS])))
+    chosen = levels.small_strategy(F.col("t.level"), F.col("t.strategy"), F.col("n_bytes"), F.col("head_distinct"))
+    far = levels.matches_far(F.col("t.far"), F.col("t.window"), F.col("payload_id") % 2 == 0)
+    return rows.groupBy("t.level", chosen.alias("chosen")).agg(F.count("*").alias("n"), F.count_if(far).alias("far"))

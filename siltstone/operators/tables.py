@@ -10,7 +10,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,28 @@ def table_log(n: Column, max_symbol: Column, most: int = 9) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(5), least, F.least(bits - 2, F.lit(most))))
 
 
+def literal_log(n: Column, max_symbol: Column) -> Column:
+    """Longest code of a literals table: one bit under the number of literals, but enough for the alphabet, from 5 to 11."""
+    bits = F.greatest(F.length(F.bin(F.greatest(n - 1, F.lit(1)))) - 2, F.lit(0))
+    least = F.least(F.length(F.bin(n)), F.length(F.bin(F.greatest(max_symbol, F.lit(1)))) + 1)
+    return F.least(F.lit(11), F.greatest(F.lit(5), least, F.least(F.lit(11), bits)))
+
+
+def flat_counts(histogram: DataFrame, *by: str) -> DataFrame:
+    """histogram (symbol, n) with norm: one state for each symbol that occurs and the rest of a power of two, 32 or more, to the most frequent
+    one (the smallest of equals). A table that always can be made."""
+    whole = Window.partitionBy(*by)
+    live = F.count(F.when(F.col("n") > 0, 1)).over(whole)
+    top = F.min(F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("symbol").alias("symbol")))).over(whole)["symbol"]
+    states = F.greatest(F.lit(32), F.pow(F.lit(2.0), F.length(F.bin(F.greatest(live - 1, F.lit(1)))))).cast("long")
+    return histogram.withColumn("norm", F.when(F.col("n") > 0, 1).otherwise(0) + F.when(F.col("symbol") == top, states - live).otherwise(0))
+
+
+def keeps_table(description: Column, n_literals: Column, old_bytes: Column, new_bytes: Column) -> Column:
+    """Whether literals are coded with the table of the block before: where a new one's description hardly pays, or old costs no more than both."""
+    return (description + 12 >= n_literals) | (old_bytes <= description + new_bytes)
+
+
 def normalize(counts: np.ndarray, log: int) -> np.ndarray:
     """Counts scaled to a sum of 2**log: at least 1 for each symbol that occurs, the rest to the largest; where that would
     take too much from it, by largest remainders."""

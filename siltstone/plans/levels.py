@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,24 @@ def adjusted_window_log(window_log: Column, n_bytes: Column) -> Column:
     return F.greatest(F.lit(10), F.least(window_log, need))
 
 
+# Sizes under which levels change their strategy, for level 4 and for others; distinct bytes of a head from which they do; the
+# smallest window with long-distance matching.
+SMALL_FOUR, SMALL, SMALL_DISTINCT, DISTANT = 16 << 10, 128 << 10, 48, 1 << 25
+
+
+def small_strategy(level: Column, strategy: Column, n_bytes: Column, head_distinct: Column) -> Column:
+    """The strategy of a level for a payload of known size: small ones with a wide head go to a binary tree at levels 4 to 10, and all small ones to
+    the optimal parser at levels 11 to 17."""
+    wide = head_distinct >= SMALL_DISTINCT
+    tree = wide & (((level == 4) & (n_bytes <= SMALL_FOUR)) | (level.between(5, 10) & (n_bytes <= SMALL)))
+    return F.when(tree, "btlazy").when(level.between(11, 17) & (n_bytes <= SMALL), "opt").otherwise(strategy)
+
+
+def matches_far(long_distance: Column, window: Column, allowed: Column) -> Column:
+    """Whether long-distance matches are searched for: the level has them, they are allowed, and the window is large enough."""
+    return long_distance & allowed & (window >= DISTANT)
+
+
 def patch_window_log(n_bytes: Column) -> Column:
     """Window for compressing against a reference of n bytes: it must reach over all of it, from 10 to 27."""
     return F.greatest(F.lit(10), F.least(F.lit(27), F.length(F.bin(F.greatest(n_bytes, F.lit(1))))))
@@ -90,7 +109,17 @@ def adaptive_levels(timings: DataFrame, start: int = 3, least: int = 1, most: in
     bounds. A fold over each stream's chunks."""
     step = F.when(F.col("verdict") == "slower", 1).when(F.col("verdict") == "faster", -1).otherwise(0)
     rows = timings.withColumn("verdict", verdict(*(F.col(c) for c in ("read_ns", "encode_ns", "output_ns"))))
-    ordered = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", step.alias("step")))).alias("s"))
-    first = F.array(F.lit(start))
-    move = lambda acc, s: F.concat(acc, F.array(F.greatest(F.lit(least), F.least(F.lit(most), F.element_at(acc, -1) + s["step"]))))
-    return ordered.select("stream_id", F.slice(F.aggregate("s", first, move), F.lit(2), F.size("s")).alias("levels"))
+    steps = rows.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", step.alias("step")))).alias("s")).select("stream_id", F.col("s.step").alias("steps"))
+
+    @F.pandas_udf("array<int>")
+    def walked(steps: pd.Series) -> pd.Series:
+        def one(own):
+            level, out = start, []
+            for s in own.tolist():
+                level = max(least, min(most, level + s))
+                out.append(level)
+            return out
+
+        return steps.map(one)
+
+    return steps.select("stream_id", walked("steps").alias("levels"))

@@ -83,3 +83,31 @@ def shapes(spark: SparkSession, shape: str, n_payloads: int, n_bytes: int, seed:
             yield pd.DataFrame({"payload_id": b["id"], "shape": shape, "content": out, "n_bytes": [len(x) for x in out]})
 
     return spark.range(n_payloads).mapInPandas(make, "payload_id long, shape string, content binary, n_bytes long")
+
+
+def write_files(files: DataFrame, directory: str) -> DataFrame:
+    """Write rows (name, content) as files of a directory that all executors share: name, n_bytes of each, once it is written. Null content is an
+    empty file. A file is written under another name and then renamed, so a task that runs again leaves nothing half written; nothing is
+    written before the result is read. Names may have directories; they must not repeat, nor leave the directory."""
+    def run(batches):
+        import posixpath
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(directory if "://" in directory or directory.startswith("/") else "file:///" + directory)
+        for b in batches:
+            names, sizes = b.column("name").to_pylist(), []
+            for name, content in zip(names, b.column("content")):
+                path = posixpath.normpath(posixpath.join(root, name))
+                if not path.startswith(root.rstrip("/") + "/"):
+                    raise ValueError(f"{name!r} is outside of the directory")
+                store.create_dir(posixpath.dirname(path), recursive=True)
+                part = posixpath.join(posixpath.dirname(path), f".{uuid.uuid4().hex}.part")
+                with store.open_output_stream(part) as out:
+                    sizes.append(out.write(content.as_buffer()) if content.is_valid else 0)
+                store.move(part, path)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "n_bytes"])
+
+    return files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, n_bytes long")

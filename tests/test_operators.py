@@ -274,6 +274,17 @@ def test_empty_table(spark):
         assert df.count() == 0
 
 
+def test_written_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.zst", b"one"), ("sub/b.bin", bytes(1000)), ("empty", b""), ("null", None)], "name string, content binary")
+    told = source.write_files(rows, f"file://{tmp_path}/out").collect()
+    assert sorted((r.name, r.n_bytes) for r in told) == [("a.zst", 3), ("empty", 0), ("null", 0), ("sub/b.bin", 1000)]
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a.zst", "empty", "null", "sub/b.bin"]
+    back = source.read_files(spark, f"{tmp_path}/out").orderBy("n_bytes").collect()
+    assert [bytes(r.content) for r in back][-1] == bytes(1000)
+    with pytest.raises(Exception, match="outside"):
+        source.write_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), f"file://{tmp_path}/out").collect()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_bytes(b"abc")
