@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,11 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set up once."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local master (tests) gets one of its own; a cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         named = sc._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -52,11 +55,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_finely(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns; operators address columns by these names, so extra columns never clash."""
-    return df.select(*[F.col(c) for c in cols])
-
-
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string column end to end as bytes, and len + 1 offsets (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,10 +91,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def column_of(lists: list[bytes]) -> pa.Array:
-    return pa.array(lists, pa.binary())
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph, edges (a, b) of longs: one row (node, component) for each node that has
     an edge; component is the smallest node reachable.

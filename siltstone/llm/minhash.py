@@ -3,12 +3,13 @@
 Each hash evaluation of a shingle serves twice: a signature keeps the minimum and the maximum under every
 permutation, so 128 values cost 64 evaluations. Both are unbiased estimators of the Jaccard similarity, and
 being taken from one permutation they are negatively correlated, which lowers the variance of their mean.
-Bands of 4 values (32 of them) find the candidates: a pair at similarity 0.75 shares no band with probability
-(1 - 0.75**4)**32 = 5e-6. Every link is confirmed on the full shingle sets, with whole numbers.
+Bands of 4 values (32 of them) find the candidates. A band has the minima of four permutations or the maxima of four, so its values are
+independent and a pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, however small its sets
+are. Every link is confirmed on the full shingle sets, with whole numbers.
 
 Work is kept in proportion to the documents, however large a group of copies is:
 
-1. equal sets collapse to their smallest doc_id;
+1. equal sets collapse to one node, whatever their doc_ids;
 2. in each band bucket every member is paired with one hub only, the member that is in most large buckets;
 3. only buckets that still hold several components are looked at again, in blocks of bounded size; pairs from
    different components whose signatures agree well enough are confirmed there, until they are joined.
@@ -30,12 +31,13 @@ EVALUATIONS, ROWS = 64, 4
 _MULTIPLY = (mix64(np.arange(1000, 1000 + EVALUATIONS, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix64(np.arange(5000, 5000 + EVALUATIONS, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 _PLACE = mix64(np.arange(77, 77 + ROWS, dtype=np.uint64)) | U64(1)
+KEYS = ("n_shingles", "s1", "s2")
 #: Members of a part, and parts of a cluster up to which all of them may be compared.
 BLOCK, MANY = 512, 16
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minimum and maximum of the hashes under each permutation, side by side."""
+    """Minima and maxima of the hashes under each permutation, four minima and four maxima by turns: each four are a band."""
     low = np.full(EVALUATIONS, 0xFFFFFFFF, np.uint32)
     high = np.zeros(EVALUATIONS, np.uint32)
     x = (hashes >> U64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
@@ -44,24 +46,30 @@ def signature(hashes: np.ndarray) -> np.ndarray:
         part ^= part >> np.uint32(15)
         low = np.minimum(low, part.min(1))
         high = np.maximum(high, part.max(1))
-    return np.stack([low, high], 1).ravel()
+    return np.stack([low.reshape(-1, ROWS), high.reshape(-1, ROWS)], 1).ravel()
+
+
+def marks(h: np.ndarray) -> tuple[int, int, int]:
+    """Size of a set of hashes, and two hashes that stand for the whole set."""
+    if not len(h):
+        return 0, 0, 0
+    return len(h), int(np.add.reduce(mix64(h ^ U64(0xA5A5A5A5))).view(np.int64)), int(np.bitwise_xor.reduce(mix64(h * U64(3) + U64(1))).view(np.int64))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes that stand for the whole set, and the signature (null: no words)."""
+    """doc_id, mark, n_shingles, two hashes that stand for the whole set, and the signature (null: no words) of each row (doc_id, mark, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = flat_bytes(b.column("text"))
-            n, s1, s2, sig = [], [], [], []
+            told, sig = [], []
             for i in range(b.num_rows):
                 h = shingle_set(data[off[i] : off[i + 1]], width)
-                n.append(len(h))
-                s1.append(int(np.add.reduce(mix64(h ^ U64(0xA5A5A5A5))).view(np.int64)) if len(h) else 0)
-                s2.append(int(np.bitwise_xor.reduce(mix64(h * U64(3) + U64(1))).view(np.int64)) if len(h) else 0)
+                told.append(marks(h))
                 sig.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+            n, s1, s2 = (pa.array([t[k] for t in told], pa.int64()) for k in range(3))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), n, s1, s2, pa.array(sig, pa.binary())], ["doc_id", "mark", *KEYS, "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -80,15 +88,24 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, shingles): the full sets of the documents in `wanted` (doc)."""
+    """(doc, shingles): the full sets of the nodes in `wanted` (doc, mark, KEYS): of the rows with that mark one whose set has these KEYS."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             data, off = flat_bytes(b.column("text"))
-            sets = [shingle_set(data[off[i] : off[i + 1]], width).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            docs, sets = [], []
+            for i, (doc, *keys) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", *KEYS)))):
+                if doc == last:  # rows that repeat a doc_id and a text follow one another
+                    continue
+                h = shingle_set(data[off[i] : off[i + 1]], width)
+                if marks(h) == tuple(keys):
+                    last = doc
+                    docs.append(doc)
+                    sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-    return found.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(run, "doc long, shingles binary")
+    found = docs.select("mark", "text").join(wanted.select("doc", "mark", *KEYS).hint("shuffle_hash"), "mark")
+    return found.select("doc", "text", *KEYS).sortWithinPartitions("doc").mapInArrow(run, "doc long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -202,30 +219,28 @@ def across(members: DataFrame, least: float, numerator: int, denominator: int) -
     return members.repartition("x", "y").sortWithinPartitions("x", "y", "side", "doc").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denominator: int = 100, least: float = 0.58) -> DataFrame:
-    """Near-duplicate classes of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, text: rows with one mark have the same doc_id and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark"), "text")
 
-    Texts are lower-cased (A-Z) and split at ASCII white space; the set of a text is its distinct `width`-word
-    shingles, or its whole sequence when it has fewer words. Two documents are linked if
-    denominator * |intersection| >= numerator * |union|. Null texts and texts without words have n_shingles 0 and are
-    their own component; repeated rows come back as often as they came; rows with a null doc_id come back with a
-    null component and kept true. Extra columns are ignored; an empty table gives an empty result.
-    least: share of equal signature values below which a pair of different components is not confirmed
-    (0.75 less 4.5 standard deviations of 128 values).
-    """
-    told = shared_table(sketches(docs.select("doc_id", "text"), width))
-    keys = ["n_shingles", "s1", "s2"]
-    sets_of = told.where("sig is not null and doc_id is not null")
-    reps = sets_of.groupBy(*keys).agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select(F.col("r.doc_id").alias("doc"), *keys, F.col("r.sig").alias("sig"))
-    reps = shared_table(reps)
-    rows = bands(reps)
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = shared_table(rows.join(sizes, "bucket"))
+
+def _classes(docs: DataFrame, width: int, numerator: int, denominator: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, mark and KEYS of each row, and for each set of words that some row has: KEYS, node (its class) and component_id, the smallest
+    doc_id of the class."""
+    rows = _marked(docs)
+    told = shared_table(sketches(rows, width))
+    # null ids come last; numbered in the table, so that a task that runs again reads the numbers of the first time
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    reps = told.where("sig is not null").groupBy(*KEYS).agg(F.min_by(F.struct("doc_id", "mark", "sig"), order).alias("r"))
+    reps = shared_table(reps.select(F.monotonically_increasing_id().alias("doc"), *KEYS, "r.doc_id", "r.mark", "r.sig"))
+    found = bands(reps)
+    sizes = found.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = shared_table(found.join(sizes, "bucket"))
     score = members.groupBy("doc").agg(F.sum("size").alias("score"))
     hub = members.join(score, "doc").groupBy("bucket").agg(F.max_by("doc", F.struct(F.col("score"), -F.col("doc"))).alias("hub"))
     stars = members.join(hub, "bucket").where("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    wanted = members.select("doc").distinct()
-    sets = shared_table(shingle_sets(docs, wanted, width))
+    wanted = reps.select("doc", "mark", *KEYS).join(members.select("doc").distinct(), "doc", "left_semi")
+    sets = shared_table(shingle_sets(rows, wanted, width))
     links = shared_table(confirm(stars, sets, numerator, denominator))
     first = shared_table(connected(links))
 
@@ -236,10 +251,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denomi
     more = shared_table(across(full, least, numerator, denominator))
     component = connected(links.union(more)) if more.take(1) else first
 
-    rep = shared_table(reps.select(F.col("doc").alias("node"), *keys).join(component, "node", "left").select(*keys, F.coalesce("component", "node").alias("rep")))
-    out = told.select("doc_id", *keys).join(rep, keys, "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nodes = reps.select("doc", "doc_id", *KEYS).join(component.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("node", F.coalesce("component", "doc"))
+    smallest = nodes.groupBy("node").agg(F.min("doc_id").alias("component_id"))
+    return told.drop("sig"), shared_table(nodes.select(*KEYS, "node").join(smallest, "node"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 75, denominator: int = 100, least: float = 0.58) -> DataFrame:
+    """Near-duplicate classes of documents (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Texts are lower-cased (A-Z) and split at ASCII white space; the set of a text is its distinct `width`-word
+    shingles, or its whole sequence when it has fewer words. Two documents are linked if
+    denominator * |intersection| >= numerator * |union|. Null texts and texts without words have n_shingles 0 and are
+    their own component. Each row comes back once and stands for itself, also where rows repeat or texts share a doc_id. A null doc_id is
+    never the smallest of a class: the component is null, and kept true, where a class has no other. Extra columns are ignored; an
+    empty table gives an empty result.
+    least: share of equal signature values below which a pair of different components is not confirmed
+    (0.75 less 4.5 standard deviations of 128 values).
+    """
+    told, classes = _classes(docs, width, numerator, denominator, least)
+    out = told.join(classes, list(KEYS), "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, numerator: int = 75, denominator: int = 100, least: float = 0.58) -> DataFrame:
+    """One row of each near-duplicate class of documents (doc_id, text), with all its columns: the one with the smallest doc_id, null last. Of
+    texts without words, and of rows that repeat a doc_id and a text, one of each doc_id and text stays."""
+    told, classes = _classes(docs, width, numerator, denominator, least)
+    of = told.where("n_shingles > 0").join(classes, list(KEYS)).select("node", "doc_id", "mark")
+    first = of.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("f")).select("node", F.col("f.mark").alias("first"))
+    gone = of.join(first, "node").where("mark <> first").select(F.col("mark").alias("__gone")).distinct()
+    repeated = told.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    rows = docs.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    left = rows.join(gone, F.col("__mark") == F.col("__gone"), "left_anti")
+    if not repeated.take(1):
+        return left.drop("__mark")
+    return left.dropDuplicates(["__mark"]).drop("__mark")
 
 
 def op2_minhash_near_dedup(spark, sf_dir):

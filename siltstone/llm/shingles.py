@@ -6,7 +6,6 @@ import numpy as np
 
 from .common import SPACES, U64, mix64
 
-_CHUNK = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
