@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at its block-level tags. A block's features are its word count and link density, those of
-its neighbours, and what surrounds it: whether it is inside an article, inside something marked as boilerplate, and a
-heading. A decision tree (Gini, grown in numpy) learns from LABELLED, a small table of hand-labelled blocks.
+its neighbours, and what surrounds it: whether it is inside an article, how far the elements around it name themselves boilerplate
+(by tag, role, or the words of a class or id: all of them, or some), and whether it is a heading. A decision tree (Gini, grown in numpy)
+learns from LABELLED, a small table of hand-labelled blocks.
 """
 
 from __future__ import annotations
@@ -43,45 +44,72 @@ LABELLED = (
     (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1), (9, 0.0, 9, 0.0, 80, 0.0, 0, 0, 1, 1), (80, 0.0, 7, 0.0, 70, 0.0, 0, 0, 0, 1), (60, 0.05, 80, 0.0, 90, 0.0, 0, 0, 0, 1),
     (40, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 1), (70, 0.0, 60, 0.0, 9, 0.3, 0, 0, 0, 1), (20, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1),
     (2, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 80, 0.0, 50, 0.0, 0, 0, 1, 1), (30, 0.0, 5, 0.0, 7, 0.4, 0, 0, 0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # a single long text between menus
+    (80, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1), (120, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 1), (60, 0.05, 2, 1.0, 3, 1.0, 0, 0, 0, 1), (45, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1), (200, 0.1, 3, 1.0, 6, 0.3, 0, 0, 0, 1),
+    # parts of articles whose names have a word of boilerplate among others: a callout with a notice, the history of a society
+    (40, 0.0, 60, 0.0, 50, 0.0, 1, 0.5, 0, 1), (25, 0.0, 80, 0.0, 70, 0.0, 1, 0.5, 0, 1), (12, 0.0, 30, 0.0, 40, 0.0, 1, 0.5, 0, 1), (60, 0.05, 4, 0.0, 90, 0.0, 1, 0.5, 0, 1),
+    (3, 0.0, 50, 0.0, 40, 0.0, 1, 0.5, 1, 1), (9, 0.0, 40, 0.0, 60, 0.1, 1, 0.5, 0, 1), (90, 0.0, 3, 0.0, 0, 0.0, 1, 0.5, 0, 1), (20, 0.0, 70, 0.0, 3, 1.0, 1, 0.5, 0, 1),
+    (4, 1.0, 60, 0.0, 3, 1.0, 1, 0.5, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 1, 0.5, 0, 0), (6, 0.9, 50, 0.0, 5, 1.0, 1, 0.5, 0, 0), (3, 0.7, 2, 1.0, 40, 0.0, 1, 0.5, 0, 0),
+    # the same outside of articles: text among text is main text, what stands by menus is not
+    (70, 0.0, 60, 0.0, 80, 0.0, 0, 0.5, 0, 1), (45, 0.0, 50, 0.0, 40, 0.0, 0, 0.5, 0, 1), (8, 0.0, 1, 1.0, 7, 0.0, 0, 0.5, 0, 0), (30, 0.0, 3, 1.0, 6, 0.0, 0, 0.5, 0, 0),
+    (15, 0.0, 90, 0.0, 5, 0.0, 0, 0.5, 0, 0), (5, 0.0, 2, 1.0, 2, 1.0, 0, 0.5, 0, 0), (12, 0.0, 4, 0.0, 0, 0.0, 0, 0.5, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0.5, 0, 0),
+    # marked text of any length, among long neighbours or not
+    (70, 0.0, 60, 0.0, 80, 0.0, 0, 1, 0, 0), (45, 0.0, 60, 0.0, 60, 0.0, 1, 1, 0, 0), (150, 0.0, 90, 0.0, 70, 0.0, 1, 1, 0, 0), (30, 0.0, 80, 0.0, 90, 0.0, 1, 1, 0, 0), (5, 0.0, 60, 0.0, 60, 0.0, 1, 1, 1, 0),
+    # what stands between menus, and lines at the end of a page, on pages that mark nothing
+    (4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (9, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (6, 0.2, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (8, 0.0, 5, 0.9, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0),
 )
 
 _SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "button", "object", "canvas", "math", "head", "title", "option", "datalist", "audio", "video")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _CLOSE = {t: re.compile(rf"</{t}(?![a-zA-Z0-9-])[^>]*(?:>|\Z)", re.I) for t in _SKIPPED if t not in ("head",)}
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li tr td th dd dt".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end may be left out: what ends them, and what they can't be ended through.
+_IMPLIED = {
+    "p": (frozenset(("p",)), frozenset("td th li dd div section article blockquote body".split())), "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))),
+    "td": (frozenset(("td", "th")), frozenset(("table",))), "th": (frozenset(("td", "th")), frozenset(("table",))), "tr": (frozenset(("tr",)), frozenset(("table",))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+}
 _BOILERPLATE = frozenset("nav aside footer form menu dialog header fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist".split())
+#: Words of a class or id that name boilerplate, and words that name nothing.
 _HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar "
-    "navigation newsletter notice notices pagination pager popup privacy promo promotion promoted reader recommended related reply replies respond responses search share sharing sidebar signup site-footer site-header "
+    "navigation newsletter notice notices pagination pager popup privacy promo promotion promoted reader recommended related reply replies respond responds responses search share sharing sidebar signup "
     "skip social sponsor sponsored sponsors subscribe subscription toc toolbar topbar widget widgets".split()
 )
+_NEUTRAL = frozenset("a area article block body bottom box card container content entry first group inner item items js last left list main new page panel post primary right row secondary section site text the top unit user view wrap wrapper".split())
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _WORD = re.compile(r"\S+")
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its tag, role, class, id or being hidden."""
-    if tag in _BOILERPLATE:
-        return True
+def _marked(tag: str, attributes: str, in_article: bool = False) -> float:
+    """How far an element says that it is boilerplate: 1 by its tag, role, being hidden, or a class or id of such words only; 0.5 by a class
+    or id that has other words too. The header of an article is not boilerplate."""
+    if tag in _BOILERPLATE and not (tag == "header" and in_article):
+        return 1.0
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return 0.0
+    out = 0.0
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and (not _HINTS.isdisjoint(re.split(r"[^a-z]+", value)) or not _HINTS.isdisjoint(value.split())):
-            return True
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            for own in value.split():
+                parts = [x for x in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", own).lower()) if x not in _NEUTRAL]
+                hints = sum(x in _HINTS and not (x == "header" and in_article) for x in parts)
+                out = max(out, 1.0 if hints and hints == len(parts) else 0.5 if hints else 0.0)
+        value = value.lower()
         if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 1.0
+    return out
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link density, in an article, boilerplate, heading) of each flat block, references decoded, white space as one space."""
+def blocks(page: str) -> list[tuple[str, float, bool, float, bool]]:
+    """(text, link density, in an article, how far boilerplate, heading) of each flat block, references decoded, white space as one space."""
     out: list = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are boilerplate
-    articles = marks = 0
+    stack: list[tuple[str, float]] = []  # open elements, and how far they or those around them are boilerplate
+    articles = 0
     link = False
     parts: list[tuple[str, bool]] = []
     heading = False
@@ -94,9 +122,24 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if text:
                 n = len(text.split())
                 linked = sum(len(_WORD.findall(t)) for t, a in parts if a)
-                out.append((text, min(1.0, linked / n), articles > 0, marks > 0, heading))
+                out.append((text, min(1.0, linked / n), articles > 0, stack[-1][1] if stack else 0.0, heading))
             parts = []
 
+    def close(k: int):
+        nonlocal articles
+        if stack[k][0] in ("td", "th") and stack[k][1] != (stack[k - 1][1] if k else 0.0):
+            flush()
+        articles -= sum(name in ("article", "main") for name, _ in stack[k:])
+        del stack[k:]
+
+    def close_implied(tag: str):
+        ended, border = _IMPLIED[tag]
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in ended:
+                return close(k)
+            if stack[k][0] in border:
+                return
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
@@ -117,8 +160,13 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             continue
         if tag == "a":
             link = not closing
-        elif tag in ("br", "td", "th", "img", "input"):
+        elif tag in ("br", "img", "input"):
             parts.append((" ", link))
+        elif tag in ("td", "th"):  # cells of a row are one block, but for those that are marked
+            if closing or not m[3]:
+                parts.append((" ", link))
+            else:
+                flush()
         elif tag in _BLOCKS:
             flush()
             link = False
@@ -131,24 +179,22 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    for name, marked in stack[k:]:
-                        articles -= name in ("article", "main")
-                        marks -= marked
-                    del stack[k:]
+                    close(k)
                     break
         elif not m[3].endswith("/"):
-            if tag in _BLOCKS or m[3]:
-                marked = _marked(tag, m[3])
-                if tag == "header" and articles and not m[3]:
-                    marked = False
-                stack.append((tag, marked))
+            if tag in _IMPLIED:
+                close_implied(tag)
+            elif tag in _BLOCKS:
+                close_implied("p")
+            if tag in _BLOCKS or tag in ("td", "th") or m[3]:
+                around = stack[-1][1] if stack else 0.0
+                stack.append((tag, max(around, _marked(tag, m[3], articles > 0))))
                 articles += tag in ("article", "main")
-                marks += marked
     flush()
     return out
 
 
-def features(found: list[tuple[str, float, bool, bool, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, float, bool, float, bool]]) -> np.ndarray:
     x = np.zeros((len(found) + 2, 2))
     x[1:-1, 0] = [len(t.split()) for t, *_ in found]
     x[1:-1, 1] = [f[1] for f in found]

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import documents, flat_bytes
 
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 4, 2.0
-#: Learning rows for each language: the bound of the training sample.
-ROWS_PER_LANGUAGE = 600
-#: Share of right predictions, on held-back rows, that rejection may lose; and the score from which nothing is rejected.
-LOSS, SURE = 0.0005, 0.4
+#: Learning rows for each language, and bytes of their texts: the bound of the training sample.
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 600, 16 << 20
+#: Share of right predictions that rejection may lose; windows of each size that a held-back text gives for calibration.
+LOSS, WINDOWS = 0.0005, 6
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
@@ -66,27 +66,32 @@ class Model:
         return e / e.sum()
 
 
-def _examples(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
-    """Whole texts and, so that short ones are learned as well, three windows of each."""
-    out = []
-    for t in texts:
-        out.append(t)
-        for size in (24, 80, 250):
-            if len(t) > size:
-                at = int(rng.integers(0, len(t) - size))
-                out.append(t[at : at + size])
+def _examples(text: bytes, windows: int, rng: np.random.Generator) -> list[bytes]:
+    """A whole text and, so that short ones are learned and judged as well, windows of it in three sizes."""
+    out = [text]
+    for size in (24, 80, 250):
+        if len(text) > size:
+            out += [text[at : at + size] for at in rng.integers(0, len(text) - size, windows).tolist()]
     return out
 
 
+def least_score(right: np.ndarray, loss: float = LOSS) -> float:
+    """The score under which a prediction is rejected: of n scores of right predictions the k-th smallest with k = floor(loss * (n + 1)), so that
+    another right prediction scores less with a probability of `loss` at most. 0 if there are too few scores to tell."""
+    k = int(loss * (len(right) + 1))
+    return float(np.sort(right)[k - 1]) if k else 0.0
+
+
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
-    """A model of these texts, or None without any. Every fifth text is held back for calibration."""
+    """A model of these texts, or None without any. Every fifth text is held back for calibration: of the temperature, which whole texts
+    and windows decide, and of the least score that is not rejected."""
     languages = sorted(set(labels))
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     data: list[list] = [[], []]
     for i, (t, label) in enumerate(zip(texts, labels)):
-        for e in _examples([t.encode()], rng):
+        for e in _examples(t.encode(), WINDOWS if i % 5 == 4 else 1, rng):
             at, count = np.unique(subwords(np.frombuffer(e, np.uint8)), return_counts=True)
             data[i % 5 == 4].append((at, (count / count.sum()).astype(np.float32), languages.index(label)))
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -122,7 +127,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
     s = np.exp(s - s.max(1, keepdims=True))
     s /= s.sum(1, keepdims=True)
     right = s.max(1)[s.argmax(1) == y]
-    model.least = float(min(SURE, np.quantile(right, LOSS))) if len(right) else 0.0
+    model.least = least_score(right)
     return model
 
 
@@ -130,13 +135,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Fit on at most about `per_language` rows of each language, chosen by a hash of doc_id, never on held-out rows."""
+def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> Model | None:
+    """Fit on about `per_language` rows and `most_bytes` of each language at most, chosen by a hash of doc_id, never on held-out rows. The
+    driver holds this sample and one row per language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: max(r["n"] / per_language, r["b"] / most_bytes) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1 / max(1.0, n)))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.where(drawn < share[F.col("lang")]).select("doc_id", "text", "lang").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["text"]))
@@ -162,12 +168,16 @@ def _judged(texts: pa.Array, m: Model | None) -> tuple[pa.Array, pa.Array, pa.Ar
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of documents, all columns, that identified() doesn't reject."""
+    """The rows of documents, all columns, that identified() doesn't reject; each row on its own, an empty table gives an empty one. Where there
+    is a lang column, it names the predicted language."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.compute.invert(_judged(b.column("text"), kept.value)[2]))
+            langs, _, gone = _judged(b.column("text"), kept.value)
+            if "lang" in b.schema.names:
+                b = b.set_column(b.schema.get_field_index("lang"), "lang", langs)
+            yield b.filter(pa.compute.invert(gone))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -189,4 +199,4 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op3_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return identified(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identified(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -6,8 +6,9 @@ Documents are inserted and deleted by adding or subtracting their counts; a key
 into or deleted from its shard's filter, which a Bloom filter could not do, so deleting what was inserted gives the
 index from before.
 
-To drop lines, each line is first looked up in the filters, which a task holds whole if all of them together are under
-FILTER_BYTES (else every line counts as possible); the few possible ones are then checked exactly by a join with `counts`.
+To drop lines, each document's keys are dealt to the shards, where the shard's filter passes the few possible ones and the exact
+counts beside it decide. A shard with many lines is met by several tasks. Where all filters together are under SENT bytes, tasks
+ask copies of them before anything is dealt, so that next to nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import SPACES, documents, shared_table
 
 MIN_DOCS = 10
-#: Keys that a shard is made for, and bytes of filters that may be sent to every task.
-SHARD_KEYS, FILTER_BYTES = 1 << 15, 64 << 20
+#: Keys that a shard is made for; lines of a shard that one task looks up, for each key in it and at least; bytes of filters that may be
+#: sent to every task.
+SHARD_KEYS, LINES_OF_KEY, LINES_OF_TASK, SENT = 1 << 15, 8, 1 << 14, 64 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SLOTS, _KICKS = 4, 500
 
@@ -212,16 +214,59 @@ def delete_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
     return _changed(index, docs, -1)
 
 
+def _frequent(index: LineIndex, lines: DataFrame) -> DataFrame:
+    """The rows of lines (mark, key) whose key the index has in min_docs documents or more.
+
+    Lines are dealt to (shard, part) and meet the shard's filter and its sorted frequent keys there. A shard's parts follow the number of
+    lines that the counts tell of, so that a line in a third of all documents is spread over many tasks. The driver holds one row per shard of
+    SHARD_KEYS frequent keys, never keys.
+    """
+    shards = index.shards
+    frequent = _sharded(index.counts.where(F.col("n") >= index.min_docs), shards)
+    told = frequent.groupBy("shard").agg(F.count("*").alias("keys"), F.sum("n").alias("lines")).collect()
+    parts = np.ones(shards, np.int64)
+    for r in told:
+        parts[r["shard"]] = -(-r["lines"] // max(LINES_OF_TASK, LINES_OF_KEY * r["keys"]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                shard = shard_of(as_numbers(b.column("key").to_pylist()), shards)
+                part = b.column("mark").to_numpy().view(np.uint64) % parts[shard].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("key"), pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32))], ["mark", "key", "shard", "part"])
+
+    def table(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": frame["shard"][:1], "keys": [b"".join(sorted(frame["key"]))]})
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.repeat(np.arange(b.num_rows), n := parts[b.column("shard").to_numpy()])
+            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            yield b.take(pa.array(at)).append_column("part", pa.array(part.astype(np.int32)))
+
+    def look_up(frame: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(shard):
+            return frame[["mark", "key"]].head(0)
+        held = CuckooFilter(np.frombuffer(shard["slots"].iloc[0], np.uint16).reshape(-1, _SLOTS))
+        frame = frame[held.holds(as_numbers(frame["key"]))]
+        known = np.frombuffer(shard["keys"].iloc[0], "S16")
+        own = np.frombuffer(b"".join(frame["key"]), "S16")
+        return frame[["mark", "key"]][known[np.searchsorted(known, own).clip(0, len(known) - 1)] == own]
+
+    keys = frequent.groupBy("shard").applyInPandas(table, "shard int, keys binary")
+    tables = index.filters.select("shard", "slots").join(keys, "shard").mapInArrow(copies, "shard int, slots binary, keys binary, part int")
+    return lines.mapInArrow(deal, "mark long, key binary, shard int, part int").groupBy("shard", "part").cogroup(tables.groupBy("shard", "part")).applyInPandas(look_up, "mark long, key binary")
+
+
 def drop_lines(index: LineIndex, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """documents (doc_id, text) without the lines whose key the index has in min_docs documents or more.
 
-    Returns doc_id, text, n_lines, n_dropped and the columns named in keep. Null or empty text is one empty line, and stays empty text. Rows with equal
-    or null doc_id are kept apart as rows but share the union of their dropped keys, which are frequent in any case. An empty
-    table gives an empty result; extra columns are ignored.
+    Returns doc_id, text, n_lines, n_dropped and the columns named in keep. Null or empty text is one empty line, and stays empty text. Each row
+    stands for itself, also where doc_id repeats or is null. An empty table gives an empty result; extra columns are ignored.
     """
     possible = None
     size = index.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-    if size <= FILTER_BYTES:
+    if size <= SENT:
         shards = index.shards
         tables = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["slots"] for r in index.filters.collect()})
 
@@ -233,15 +278,16 @@ def drop_lines(index: LineIndex, docs: DataFrame, keep: tuple[str, ...] = ()) ->
                     out[at] = CuckooFilter(np.frombuffer(slots, np.uint16).reshape(-1, _SLOTS)).holds(keys[at])
             return out
 
-    frequent = index.counts.where(F.col("n") >= index.min_docs).select("key")
-    dropped = _keys(docs, possible).join(frequent, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    both = plain.join(dropped.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "keys", *keep)
+    # rows with one mark have the same text, or else (by chance) share keys that are frequent in any case
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).withColumn("__mark", F.xxhash64("doc_id", "text"))
+    lines = _keys(plain.select(F.col("__mark").alias("doc_id"), "text"), possible).withColumnRenamed("doc_id", "mark")
+    dropped = _frequent(index, lines).groupBy("mark").agg(F.collect_set("key").alias("__keys"))
+    both = plain.join(dropped, F.col("__mark") == F.col("mark"), "left").select("doc_id", "text", "__keys", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, keys in zip(b.column("text"), b.column("keys")):
+            for text, keys in zip(b.column("text"), b.column("__keys")):
                 lines = (text.as_py() or "").encode().split(b"\n")
                 left = lines
                 if keys.is_valid:

@@ -112,48 +112,62 @@ def laid_out(rows: DataFrame) -> DataFrame:
     return out.withColumn("start", F.col("inner") + F.col("before")).drop("s", "k", "inner", "before", "bucket", "mark")
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """The mix of documents (doc_id, text, source): doc_id, source, size, source_size, target, taken.
-
-    A null text has size 0; a null source is a source of its own, last in order. Repeated rows are taken as documents of
-    their own; ties in the shuffled order go by doc_id and size, so reruns agree. Sources without words have target 0. An empty
-    table gives an empty result; extra columns are ignored.
-    """
+def _mixed(docs: DataFrame, weights, most: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """mixed() with no, start and blocks of each document's source, and the slots (no, rank, slot)."""
     rows = shared_table(sized(docs))
     sources = sources_of(rows, weights, most, block)
     named = sources.select(F.col("source").alias("s"), "no", "source_size", "target", "words", "blocks")
     placed = laid_out(rows).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # what each block of each source is taken: whole times, and the words of one clipped last time
-    slots = schedule(sources).join(F.broadcast(sources.select("no", "source_size", "words", "blocks")), "no")
+    plan = schedule(sources)
+    slots = plan.join(F.broadcast(sources.select("no", "source_size", "words", "blocks")), "no")
     slots = slots.withColumn("block", F.col("rank") % F.col("blocks"))
     begin = F.expr("(rank div blocks) * source_size") + F.col("block") * block
     full = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     slots = slots.withColumn("got", F.least(full, F.col("words") - begin)).withColumn("whole", (F.col("got") == full).cast("long"))
-    use = slots.groupBy("no", "block").agg(F.sum("whole").alias("times"), F.max(F.when(F.col("whole") == 0, F.col("got"))).alias("clip"))
+    use = slots.groupBy("no", "block").agg(F.sum("whole").alias("times"), F.max(F.when(F.col("whole") == 0, F.col("got"))).alias("clip"), F.min("slot").alias("slot"))
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     inner = F.greatest(F.lit(0), F.col("start") - F.col("block") * block)
     length = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, F.col("start"))
     got = parts.withColumn("inner", inner).withColumn("length", length).join(use.hint("merge"), ["no", "block"], "left")
     each = F.coalesce(F.col("times"), F.lit(0)) * F.col("length") + F.greatest(F.lit(0), F.least(F.col("length"), F.coalesce(F.col("clip"), F.lit(0)) - F.col("inner")))
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    taken = got.withColumn("each", each).groupBy(*columns, "start").agg(F.sum("each").alias("taken")).drop("start")
-    return taken.unionByName(placed.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+    own = ["no", "start", "blocks"]
+    taken = got.withColumn("each", each).groupBy(*columns, *own).agg(F.sum("each").alias("taken"), F.coalesce(F.min(F.when(F.col("each") > 0, F.col("slot"))), F.lit(-1)).alias("first_slot"))
+    rest = placed.where("size = 0").select(*columns, *own, F.lit(0).cast("long").alias("taken"), F.lit(-1).cast("long").alias("first_slot"))
+    return taken.unionByName(rest), plan
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The mix of documents (doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot: the first slot of the
+    schedule that takes words of the document (-1: none does).
+
+    A null text has size 0; a null source is a source of its own, last in order. Repeated rows are taken as documents of
+    their own; ties in the shuffled order go by doc_id and size, so reruns agree. Sources without words have target 0. An empty
+    table gives an empty result; extra columns are ignored.
+    """
+    return _mixed(docs, weights, most, block)[0].drop("no", "start", "blocks")
 
 
-def taken_texts(docs: DataFrame, **how) -> DataFrame:
-    """The documents that mixed() takes, as often as it takes them: all columns, text whole for each whole time, and cut after the
-    words of a last time that takes a part. Rows with equal or null doc_id are matched with what they are taken in order of size;
-    n_chars, if there is one, follows the text."""
+def taken_texts(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The documents that mixed() takes, as often as it takes them and in the order of the schedule's slots: all columns, text whole for each
+    whole time, and cut after the words of a last time that takes a part. Rows with equal or null doc_id are matched with what they are taken in
+    order of size; n_chars, if there is one, follows the text. A time stands at the slot of the block that the document begins in."""
     # names of its own, for docs may have columns of any name
-    names = {"doc_id": "__doc_id", "source": "__source", "size": "__size", "taken": "__taken"}
-    got = mixed(docs, **how).select(*[F.col(a).alias(b) for a, b in names.items()])
+    names = {"doc_id": "__doc_id", "source": "__source", "size": "__size", "taken": "__taken", "no": "__no", "start": "__start", "blocks": "__blocks"}
+    found, plan = _mixed(docs, weights, most, block)
+    got = found.select(*[F.col(a).alias(b) for a, b in names.items()])
     got = got.withColumn("__nth", F.row_number().over(Window.partitionBy("__doc_id", "__source").orderBy("__size", "__taken")))
     rows = docs.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(words_of("text"), "text")))
     match = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__row") == F.col("__nth"))
-    both = rows.join(got.where("__taken > 0"), match)
-    times = both.withColumn("__time", F.explode(F.sequence(F.lit(0), F.expr("(__taken - 1) div __size").cast("int"))))
+    times = got.where("__taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(0), F.expr("(__taken - 1) div __size").cast("int"))))
+    times = times.withColumn("__rank", F.expr(f"__start div {block} + __time * __blocks"))
+    slots = plan.select(F.col("no").alias("__no"), F.col("rank").alias("__rank"), F.col("slot").alias("__slot"))
+    times = times.join(slots.hint("merge"), ["__no", "__rank"], "left")
+    both = rows.join(times, match)
     words = F.least("__size", F.col("__taken") - F.col("__time") * F.col("__size"))
-    rows = times.select(*docs.columns, F.when(words < F.col("__size"), words).alias("__words"))
+    rows = both.select(*docs.columns, "__slot", "__start", F.when(words < F.col("__size"), words).alias("__words"))
+    rows = rows.repartitionByRange(F.asc_nulls_last("__slot"), "__start").sortWithinPartitions(F.asc_nulls_last("__slot"), "__start")
     word, names, schema = re.compile(WORD), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +185,7 @@ def taken_texts(docs: DataFrame, **how) -> DataFrame:
 
 
 def op10_source_mixing(spark, sf_dir):
-    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP10_SQL = r"""
@@ -193,12 +207,28 @@ WITH d AS (
   SELECT c.source, c.source_size,
     CASE WHEN c.k >= f.k THEN (SELECT level FROM c AS x WHERE x.k = f.k) * c.w ELSE 3.0 * c.source_size END::DOUBLE AS target
   FROM c, f
+), u AS (
+  SELECT source, source_size, target, round_even(target, 0)::BIGINT AS words, (source_size + 511) // 512 AS blocks FROM t
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no,
+    CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * blocks + (words % source_size + 511) // 512 END AS slots FROM u
+), g AS (
+  SELECT no, slots, floor(sum(slots) OVER (ORDER BY no) / (SELECT sum(slots) FROM n) * 2147483648)::BIGINT AS bound FROM n
+), z AS (  -- slot t belongs to the source whose share of the cumulative weights the t-th golden-ratio point falls into
+  SELECT t, least((SELECT count(*) FROM g WHERE bound <= point), (SELECT max(no) FROM n)) AS no
+  FROM (SELECT t, t % 2147483648 * 1327217885 % 2147483648 AS point FROM range((SELECT sum(slots)::BIGINT FROM n)) AS r(t))
+), r AS (
+  SELECT no, t, row_number() OVER (PARTITION BY no ORDER BY t) - 1 AS rank FROM z
+), k AS (
+  SELECT no, rank, t AS slot FROM r
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round_even(t.target, 0)::BIGINT AS words,
+  SELECT d.doc_id, d.size, n.source_size, n.target, n.words, n.no, n.slots,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), q AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken FROM p
 )
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken
-FROM p
+SELECT q.doc_id, q.size, q.source_size, q.target, q.taken,
+  CASE WHEN taken > 0 THEN coalesce((SELECT k.slot FROM k WHERE k.no = q.no AND k.rank = q.start // 512 AND k.rank < q.slots), (SELECT sum(slots) FROM n)) ELSE -1 END::BIGINT AS first_slot
+FROM q
 """

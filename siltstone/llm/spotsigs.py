@@ -19,6 +19,8 @@ from .common import U64, documents, mix64, partitions
 from .shingles import word_hashes
 
 CHAIN, GAP = 2, 10
+#: Bits of the hash by which documents without an id are dealt into ranges.
+NULLS = 6
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by can do for from had has have he her his i if in is it its not of on or said she so that the their there they this to was we were which who will with would you "
@@ -109,49 +111,49 @@ def similar(prints: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """grp, last, doc_id, text: documents dealt into ranges of doc_id (falling, null last), each range followed by a copy of
-    the first document of the next one (last = 1), the last range by the first document of all. Only ids at the borders of
-    ranges come to the driver, no more than there are ranges."""
+    """grp, last, doc_id, h, text: documents dealt into ranges of doc_id (falling, null last, in NULLS ranges of h, the text's hash), each range
+    followed by a copy of the first document of the next one (last = 1), the last range by the first document of all. Only ids and hashes at
+    the borders of ranges come to the driver, no more than there are ranges."""
     spark, n = docs.sparkSession, 4 * partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.002)})
 
-    def place(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+    def told(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """range, doc_id (or the hash) and whether it is the hash, of each row."""
+        null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        ids, h = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
         at = len(cuts) - np.searchsorted(np.array(cuts, np.int64), ids, "right")
-        return np.where(null, len(cuts) + 1, at).astype(np.int32)
-
-    def ids_of(column):
-        return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+        return np.where(null, len(cuts) + 1 + (h >> (64 - NULLS)) + (1 << NULLS - 1), at).astype(np.int32), np.where(null, h, ids), null
 
     def ranges(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place(*ids_of(b.column("doc_id")))), b.column("doc_id")], ["grp", "doc_id"])
+            at, key, null = told(b)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.where(null, -1 - key, key))], ["grp", "first"])  # hashes rise
 
-    heads = rows.select("doc_id").mapInArrow(ranges, "grp int, doc_id long").groupBy("grp").agg(F.max("doc_id").alias("doc_id")).collect()
-    order = sorted((r["grp"], r["doc_id"]) for r in heads)
+    heads = rows.select("doc_id", "h").mapInArrow(ranges, "grp int, first long").groupBy("grp").agg(F.max("first").alias("first")).collect()
+    order = sorted((r["grp"], r["first"]) for r in heads)
     to = {own: order[k - 1][0] for k, (own, _) in enumerate(order)}
     head = dict(order)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, null = ids_of(b.column("doc_id"))
-            at = place(ids, null)
-            guest = np.array([head[g] is None if z else head[g] == i for g, i, z in zip(at.tolist(), ids.tolist(), null.tolist())], bool)
+            at, key, null = told(b)
+            guest = np.array([head[g] for g in at.tolist()], np.int64) == np.where(null, -1 - key, key)
             rows = np.concatenate([np.arange(len(at)), np.flatnonzero(guest)])
             grp = np.concatenate([at, np.array([to[g] for g in at[guest].tolist()], np.int32)])
             last = np.concatenate([np.zeros(len(at), np.int32), np.ones(int(guest.sum()), np.int32)])
             taken = b.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(last), taken.column("doc_id"), taken.column("text")], ["grp", "last", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(last), *(taken.column(c) for c in ("doc_id", "h", "text"))], ["grp", "last", "doc_id", "h", "text"])
 
-    dealt = rows.mapInArrow(deal, "grp int, last int, doc_id long, text string").repartition("grp")
-    return dealt.sortWithinPartitions("grp", "last", F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.mapInArrow(deal, "grp int, last int, doc_id long, h long, text string").repartition("grp")
+    return dealt.sortWithinPartitions("grp", "last", F.desc_nulls_last("doc_id"), "h", "text")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) next to an edited text and to the next document in falling order of doc_id.
 
     The last floor(n_chars / 3) code points are replaced by the first as many (or all) of the next document; after the
-    last comes the first. Null text is empty; null doc_ids come after all others, equal ones in order of text. Returns
+    last comes the first. Null text is empty; null doc_ids come after all others, in order of the text's xxhash64, equal ids in order of text. Returns
     doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. A single document is its own next.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
