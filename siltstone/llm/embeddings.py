@@ -3,9 +3,9 @@
 Vectors of one label are projected on random lines. Two kinds of lines are used one after the other:
 
 1. Cells. `depth` lines are cut into equal intervals and make a table of cells; there are `tables` such tables, and only vectors of one
-   cell meet. The larger a label is, the more lines a table has and the more tables there are, so that a cell holds about BLOCK vectors and the
+   cell meet. The larger a label is, the more lines a table has and the more tables there are, so that a cell holds about CELL vectors and the
    pairs that meet grow far slower than all pairs: by tables * n * n * (chance that two unlike vectors share a cell). A label of up to
-   BLOCK vectors is one cell.
+   CELL vectors is one cell: for those, more tables would send more than they save.
 2. Windows. In a cell the vectors are sorted on each of LINES other lines; a pair collides on a line if one is in the window of half-width `half`
    around the other. Pairs with at least `count` collisions are verified by their cosine in double precision.
 
@@ -28,8 +28,9 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .common import U64, connected, mix64, shared_table
 
 LINES, MISS, SEED = 32, 1e-6, 5
-#: Vectors of a block: two blocks are compared in one task. Width of the intervals that cells are made of, in which unit vectors spread by 1.
-BLOCK, INTERVAL = 1024, 1.0
+#: Vectors of a block: two blocks are compared in one task. Vectors that a cell is meant for. Width of the intervals that cells are made of, in
+#: which unit vectors spread by 1, and steps that it is measured in.
+BLOCK, CELL, INTERVAL, STEPS = 1024, 8192, 1.0, float(1 << 17)
 
 
 def calibrated(least: float, lines: int = LINES, miss: float = MISS) -> tuple[float, int]:
@@ -63,15 +64,17 @@ def shared_interval(apart: float, width: float = INTERVAL) -> float:
 def tables_for(n: int, least: float, miss: float = MISS) -> tuple[int, int]:
     """(depth, tables) for a label of n vectors: lines of a table, and tables so that a pair at the least cosine shares a cell in one of them."""
     near, far = shared_interval(sqrt(max(1e-12, 2 - 2 * least))), shared_interval(sqrt(2))
-    depth = max(0, ceil(log(max(1.0, n / BLOCK)) / -log(far)))
+    depth = max(0, ceil(log(max(1.0, n / CELL)) / -log(far)))
     return (depth, ceil(log(miss) / log(1 - near**depth))) if depth else (0, 1)
 
 
 def cells(v: np.ndarray, depth: int, tables: int) -> np.ndarray:
-    """The cell of each unit vector in each table, as a hash: one column for each table."""
+    """The cell of each unit vector in each table, as a hash: one column for each table. Components and lines are taken in whole steps of
+    1 / STEPS, so the products are whole numbers under 2**53: a vector's cells are the same wherever they are computed."""
     rng = np.random.default_rng(SEED + 1)
-    lines = rng.standard_normal((v.shape[1], tables * depth))
-    place = np.floor((v @ lines + rng.random(tables * depth) * INTERVAL) / INTERVAL).astype(np.int64).view(np.uint64)
+    lines = np.rint(rng.standard_normal((v.shape[1], tables * depth)) * STEPS)
+    start = np.rint(rng.random(tables * depth) * INTERVAL * STEPS * STEPS)
+    place = np.floor((np.rint(v * STEPS) @ lines + start) / (INTERVAL * STEPS * STEPS)).astype(np.int64).view(np.uint64)
     out = np.zeros((len(v), tables), np.uint64)
     for k in range(depth):
         out = mix64(out * U64(0x9E3779B97F4A7C15) + place[:, k::depth])
@@ -179,7 +182,8 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
         at = np.flatnonzero(n)
         return pd.DataFrame({"a": ids[at], "b": ids[forest(len(v), a, b)[at]], "n": n[at]})
 
-    return placed.groupBy(*key, "x", "y").applyInPandas(compare, "a long, b long, n long")
+    # the parts of a cell are dealt one by one: what the rows come in, whole cells, would do for Spark
+    return placed.repartition(*key, "x", "y").groupBy(*key, "x", "y").applyInPandas(compare, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -195,7 +199,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     # numbered in the table, so that a task that runs again reads the numbers of the first time
     distinct = usable.groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count_distinct("vec_id").alias("copies")).withColumn("vec", F.monotonically_increasing_id())
     distinct = shared_table(distinct)
-    found = shared_table(links(distinct.select("label", "v", "vec", "copies"), least))
+    # vectors that came as floats travel as such; they are doubles again before anything is computed
+    narrow = dict(vectors.dtypes)["embedding"] == "array<float>"
+    sent = distinct.select("label", F.col("v").cast("array<float>").alias("v") if narrow else "v", "vec", "copies")
+    found = shared_table(links(sent, least))
     node = connected(found.select("a", "b")).select(F.col("node").alias("vec"), "component")
     linked = found.groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("other"))
     classes = distinct.select("vec", "least_id", "copies").join(linked, "vec", "left").join(node, "vec", "left").withColumn("component", F.coalesce("component", "vec"))

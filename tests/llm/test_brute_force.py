@@ -326,6 +326,46 @@ def test_embedding_recall(spark):
     assert [got[i] for i in range(len(v))] == link.sum(1).tolist() and link.sum() > 200
 
 
+def test_embedding_links_through_cells(spark, monkeypatch):
+    """A label far larger than a block: vectors meet in cells of several tables, and no link is lost or counted twice."""
+    monkeypatch.setattr(embeddings, "CELL", 32)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(19)
+    base = rng.standard_normal((400, 24))
+    near = base[:200] + rng.standard_normal((200, 24)) * rng.uniform(0.02, 0.25, (200, 1))
+    group = base[399] + rng.standard_normal((150, 24)) * 0.08  # a large group of near vectors
+    v = np.concatenate([base, near, group]).astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]], 1) for i in range(len(v))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = v.astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    root = np.arange(len(v))
+    for _ in range(20):
+        root = np.array([min(root[i], root[link[i]].min(initial=i)) for i in range(len(v))])
+    assert embeddings.tables_for(len(v), 0.98)[0] >= 2
+    assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(v))}
+    assert link.sum() > 10_000
+
+
+def test_cells_prune_and_keep():
+    """Of pairs at the least cosine nearly all share a cell in some table, and of unlike pairs few: those that meet grow slower than all pairs."""
+    rng = np.random.default_rng(20)
+    meets = []
+    for n in (1 << 16, 1 << 20, 1 << 24):
+        depth, tables = embeddings.tables_for(n, 0.98)
+        a = rng.standard_normal((2000, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal(a.shape)
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        x, y = (embeddings.cells(v, depth, tables) for v in (a, b))
+        assert (x == y).any(1).all()
+        meets.append((x == np.roll(x, 1, 0)).sum() / len(a))  # times that an unlike pair meets
+    assert meets[0] > 4 * meets[1] > 16 * meets[2] - 1e-9
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.op3_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -340,11 +380,104 @@ def test_quality_accuracy(spark):
     assert (out.predicted == out.quality).mean() > 0.9
 
 
-def test_risk_stays_non_negative():
-    rng = np.random.default_rng(10)
-    good, bad = rng.normal(1, 1, (500, len(quality.NAMES))), rng.normal(-1, 1, (500, len(quality.NAMES)))
-    model = quality.train(good[:300].astype(np.float32), np.concatenate([good[300:], bad[:300]]).astype(np.float32), bad[300:].astype(np.float32), 0.4)
-    assert model.scores(good).mean() > 0.8 and model.scores(bad).mean() < 0.2
+def test_class_prior_of_two_normals():
+    """Without a negative label, the share of positives among unlabelled rows is found, for several shares."""
+    rng = np.random.default_rng(11)
+    for share in (0.2, 0.5, 0.8):
+        positive = rng.normal(2, 1, 3000)
+        unlabelled = np.where(rng.random(20_000) < share, rng.normal(2, 1, 20_000), rng.normal(-2, 1, 20_000))
+        cells = [np.bincount(quality.cell_of(z), minlength=quality.CELLS) for z in (positive, unlabelled)]
+        assert abs(quality.class_prior(*cells) - share) < 0.04
+        z = np.random.default_rng(1).normal(0, 3, 5000)
+        shift = quality.shift_to(np.bincount(quality.cell_of(z), minlength=quality.CELLS), share)
+        assert abs((1 / (1 + np.exp(-z - shift))).mean() - share) < 0.01
+
+
+def test_gradient_of_the_risk():
+    """The gradient against differences of the risk, where its negative part is positive; where it is negative, the step climbs."""
+    rng = np.random.default_rng(12)
+    size, p, u = 3 * 4 + 1, rng.integers(0, 12, (50, 3)), rng.integers(0, 12, (80, 3))
+    soft = lambda z: np.logaddexp(0, z)
+
+    def risk(w, prior):
+        zp, zu = w[p].sum(1) + w[-1], w[u].sum(1) + w[-1]
+        minus = soft(zu).mean() - prior * soft(zp).mean()
+        return minus, prior * soft(-zp).mean() + minus
+
+    w = rng.normal(0, 0.5, size)
+    # parts of a table add up to the whole
+    whole = quality.unlabelled_part(w, u[:30]) + quality.unlabelled_part(w, u[30:])
+    for prior in (0.3, 0.95):
+        minus, g = quality.pu_gradient(w, p, whole, prior)
+        assert abs(minus - risk(w, prior)[0]) < 1e-9
+        k = 0 if minus < 0 else 1
+        step = 1e-6 * np.eye(size)
+        want = np.array([(risk(w + d, prior)[k] - risk(w - d, prior)[k]) / 2e-6 for d in step])
+        assert np.allclose(g, want if minus >= 0 else -want, atol=1e-5)
+    low = np.full(size, 0.0)
+    low[-1] = 5.0  # all taken for positives and a large prior: the negative part is below zero
+    assert quality.pu_gradient(low, p, quality.unlabelled_part(low, u), 1.2)[0] < 0
+
+
+def words(n, w="word"):
+    return " ".join([w] * n)
+
+
+@pytest.mark.parametrize("page, want", [
+    # marks on elements that need no end tag
+    (f"<article><h1>T</h1><p class='ad'>{words(9, 'buy')}<p>{words(20)}<ul><li>one two<li class=comment>{words(8, 'bad')}<li>three</ul></article>", ["T", words(20), "one two", "three"]),
+    (f"<article><p>{words(30)}</p><table><tr><td>a<td class='advert'>{words(9, 'spam')}<td>b</table></article>", [words(30), "a", "b"]),
+    (f"<article><dl><dt>term<dd class='sponsored'>{words(6, 'x')}<dd>{words(7)}</dl></article>", ["term", words(7)]),
+    # parts of an article with unlucky names
+    (f"<article><p>{words(40)}</p><div class='callout-notice'><p>{words(30, 'note')}</p></div><section id='social-history'><h2>Then</h2><p>{words(40, 'hist')}</p></section></article>", [words(40), words(30, "note"), "Then", words(40, "hist")]),
+    (f"<article><header class='entry-header'><h1>Title</h1></header><p>{words(25)}</p></article>", ["Title", words(25)]),
+    # names of boilerplate only, in many spellings
+    (f"<article><p>{words(40)}</p></article><div id='siteFooter'>{words(30, 'f')}</div><div class='comment-list'><p>{words(50, 'c')}</p></div><div class='cookie-consent'>{words(15, 'k')}</div>", [words(40)]),
+    (f"<div class='main-menu'><a href=x>Home</a> <a href=y>About</a></div><article><p>{words(35)}</p><div role=complementary>{words(30, 's')}</div><div hidden>{words(9, 'h')}</div></article>", [words(35)]),
+    # pages that mark no article: words, links and neighbours decide
+    (f"<div><a href=x>Home</a></div><div><a href=y>About us</a></div><h1>A title</h1><p>{words(60)}</p><p>{words(50, 'more')}</p><p>Short.</p><p>{words(45, 'last')}</p><div><a href=z>Next page</a></div><div>(c) Somebody</div>", ["A title", words(60), words(50, "more"), "Short.", words(45, "last")]),
+    (f"<nav><a href=a>A</a></nav><p>{words(80)}</p><ul><li><a href=b>Related one</a><li><a href=c>Related two</a></ul>", [words(80)]),
+    ("<nav><a href=a>A</a></nav><form><p>Your name please, and a long explanation of why it is asked for</p></form>", []),
+])
+def test_main_text_of_made_up_pages(page, want):
+    assert extraction.main_text(page, extraction.train()) == "\n\n".join(want)
+
+
+def test_tree_uses_neighbours():
+    def used(tree):
+        return {extraction.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert {"words", "links", "boilerplate", "article"} <= used(extraction.train()) and used(extraction.train()) & {"words_before", "links_before", "words_after", "links_after"}
+
+
+def plain_signatures(text):
+    """SpotSigs as the module describes them, with strings: anchor (or word of a stretch without one) and the next content words, counted."""
+    anchors = set(spotsigs.ANCHORS.split())
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    own = re.findall(r"[^\x00-\x7f\w]*(?:[a-z0-9]|[^\x00-\x7f])+", lower)
+    content = [(i, w) for i, w in enumerate(own) if w not in anchors]
+    out, since = collections.Counter(), spotsigs.GAP + 1
+    for i, w in enumerate(own):
+        since = 0 if w in anchors else since + 1
+        if w in anchors or since > spotsigs.GAP:
+            out[(w, *[x for k, x in content if k > i][: spotsigs.CHAIN])] += 1
+    return out
+
+
+def test_signatures_are_those_of_the_description():
+    """Equal likeness with strings in place of hashes; the fingerprints' sizes are those of the multisets."""
+    rng = random.Random(21)
+    vocabulary = ["the", "of", "and", "der", "la", "que"] + [f"w{i}" for i in range(40)] + ["\u00fcber", "\u00e9t\u00e9"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 80))) for _ in range(60)] + ["The END, of it. 3.5 x", " ".join(f"row{i}" for i in range(30))]
+    texts += [t + " " + rng.choice(vocabulary) for t in texts[:20]]
+    plain, hashed = [plain_signatures(t) for t in texts], [spotsigs.signatures(t) for t in texts]
+    for p, h in zip(plain, hashed):
+        assert sum(p.values()) == len(h)
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = plain[i], plain[j]
+            union = sum((a | b).values())
+            assert abs(spotsigs.jaccard(hashed[i], hashed[j]) - (sum((a & b).values()) / union if union else 1.0)) < 1e-12
 
 
 def test_pages_give_their_article(spark, sf):

@@ -1,6 +1,8 @@
 """Each operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import embeddings, extraction, language, line_dedup, minhash, mixing, packing, quality, spotsigs, suffix_dedup
 
@@ -65,6 +67,19 @@ def test_minhash(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_minhash_where_texts_share_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near, other = text.replace("w50 ", "x "), " ".join(f"z{i}" for i in range(100))
+    rows = [(1, other), (1, text), (1, text), (2, near), (None, near + " end"), (None, other + " end"), (None, "alone with its few words here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == sorted([("1", 96, "1", True)] * 3 + [("2", 96, "1", False), ("None", 97, "1", False), ("None", 97, "1", False), ("None", 2, "None", True), ("None", 0, "None", True)])
+    left = minhash.one_of_each(docs.withColumn("mark", F.lit(1)))
+    assert left.columns == ["doc_id", "text", "mark"]
+    left = [(r.doc_id, r.text) for r in left.collect()]
+    assert len(left) == 4 and {(1, other), (1, text), (None, None)} < set(left)
+
+
 def test_language(docs, none):
     model = language.learn(docs)
     out = language.identified(docs, model).cache()
@@ -110,6 +125,7 @@ def test_line_dedup(docs, none):
     assert (got[20].text, got[20].n_lines, got[20].n_dropped) == ("unique words 0 here", 3, 2)
     assert (got[2].text, got[2].n_lines, got[2].n_dropped) == ("", 1, 0)
     assert got[4].text == " \t\n " and got[5].text == LONG
+    assert all(r.n_dropped == 0 and r.text in ("", "a row without an id, but with some words in it") for r in out.where("doc_id is null").collect())
     assert line_dedup.drop_lines(line_dedup.build(none), none).count() == 0
 
 
@@ -145,16 +161,24 @@ def test_embeddings(spark):
         assert got[i] == (0, i, True)
     assert got[14] == (1, 13, False) and got[16] == (1, 15, False) and got[None] == (0, None, True)
     assert embeddings.near_duplicates(vectors.limit(0)).count() == 0
+    # rows that repeat, and other vectors with the same vec_id, come back as often as they came
+    again = spark.createDataFrame([data[0], data[0], data[2], (1, [0.0, 1.0, 0.0], 1, 0), (1, v, 2, 0), data[7], data[7]], vectors.schema)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(again).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 1, 1), (1, 1, 1), (3, 1, 1), (8, 0, 8), (8, 0, 8)]
 
 
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, 0), (8, 0, 0), (20, 1, 0), (21, None, 1), (None, 1, 0), (5, 0, 0), (1, 1, 0)], "doc_id long, quality int, text int")
-    model = quality.learn(docs, labels)
-    out = quality.scored(docs, model).cache()
+    told = quality.described(docs)
+    model = quality.learn(told, labels)
+    out = quality.scored(told, model).cache()
     assert ids(out) == wanted()
     assert out.where("score < 0 or score > 1 or score is null or predicted <> cast(score >= 0.7 as int)").count() == 0
-    assert quality.learn(none, labels.limit(0)) is None
-    assert quality.scored(none, None).count() == 0
+    empty = quality.described(none)
+    assert quality.learn(empty, labels.limit(0)) is None and quality.learn(empty, labels) is None
+    assert quality.scored(empty, None).count() == 0 and quality.scored(told, None).where("score <> 0.5").count() == 0
+    once = quality.learn(quality.described(docs.repartition(2)), labels)
+    assert abs(once.prior - model.prior) < 1e-9 and np.allclose(once.flat, model.flat)
 
 
 def test_mixing(docs, none):
@@ -173,12 +197,44 @@ def test_mixing(docs, none):
     assert abs(sum(words(r.text) for r in texts.collect()) - out.agg({"taken": "sum"}).first()[0]) <= 5
 
 
-def test_pipeline_of_nothing(spark, docs, none):
+def test_line_dedup_by_shards_alone(docs, monkeypatch):
+    """Filters too large to be sent to every task: all lines are looked up where the shards are, in several parts of a shard."""
+    want = sorted(map(str, line_dedup.drop_lines(line_dedup.build(docs, 3), docs).collect()))
+    monkeypatch.setattr(line_dedup, "SENT", -1)
+    monkeypatch.setattr(line_dedup, "LINES_OF_TASK", 4)
+    monkeypatch.setattr(line_dedup, "LINES_OF_KEY", 1)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    assert sorted(map(str, line_dedup.drop_lines(line_dedup.build(docs, 3), docs).collect())) == want
+
+
+def test_stages(spark, docs, none):
+    """Each stage on odd rows: nulls, repeated rows, empty and long texts; and on an empty table."""
+    import corpus_pipeline
+
+    columns = list(corpus_pipeline.COLUMNS)
+    frame = docs.select(*columns)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select(*columns), "").count() == 0
+        out = stage(spark, frame, "")
+        n = out.count()
+        assert n > 0
+        if name != "best_fit_packing":
+            assert out.columns == columns
+        if name == "line_dedup":
+            assert n == frame.count()
+        if name == "minhash_near_dedup":
+            assert n == out.distinct().count() and {r.doc_id for r in out.collect()} >= {1, 2, 3, 4, 5, 7, 8, 9, 20, 40, None} and out.where("doc_id in (6, 41)").count() == 0
+        if name == "language_id":
+            assert out.where("doc_id in (2, 3, 4, 8) or text is null").count() == 0 and out.where("lang = 'de'").count() > 0
+
+
+def test_whole_pipeline_on_odd_rows(spark, docs, none):
     import corpus_pipeline
 
-    frame = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    for start, some in ((none, False), (frame, True)):
-        out = start
+    for start, some in ((none, False), (docs, True)):
+        out = start.select(*corpus_pipeline.COLUMNS)
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, "")
         assert (out.count() > 0) == some
+        # the pieces of each time that a document is taken are told apart
+        assert out.groupBy("copy", "piece").count().where("count > 1").count() == 0
