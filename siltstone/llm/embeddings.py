@@ -182,7 +182,7 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
         at = np.flatnonzero(n)
         return pd.DataFrame({"a": ids[at], "b": ids[forest(len(v), a, b)[at]], "n": n[at]})
 
-    # the parts of a cell are dealt one by one: what the rows come in, whole cells, would do for Spark
+    # without this, the cells' own partitioning would do for Spark, and all parts of a cell come to one task
     return placed.repartition(*key, "x", "y").groupBy(*key, "x", "y").applyInPandas(compare, "a long, b long, n long")
 
 
