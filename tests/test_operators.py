@@ -118,7 +118,7 @@ def test_content_changes(spark):
 
 
 def test_job_sizes(spark):
-    """As the reference rounds: a share is rounded up, so no more jobs than twice the workers."""
+    """A share is rounded up, so there are no more jobs than twice the workers."""
     n = [1, (1 << 20) * 16, (1 << 20) * 16 + 1, 1 << 36]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "payload_id long, n_bytes long")
     got = [(r.job_size, r.n_jobs) for r in chunking.jobs(df).orderBy("payload_id").collect()]
