@@ -150,8 +150,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK
 
 
 def taken_texts(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """The documents that mixed() takes, as often as it takes them and in the order of the schedule's slots: all columns, text whole for each
-    whole time, and cut after the words of a last time that takes a part. Rows with equal or null doc_id are matched with what they are taken in
+    """The documents that mixed() takes, as often as it takes them, each partition in the order of the schedule's slots: all columns, text whole
+    for each whole time, and cut after the words of a last time that takes a part. Rows with equal or null doc_id are matched with what they are taken in
     order of size; n_chars, if there is one, follows the text. A time stands at the slot of the block that the document begins in."""
     # names of its own, for docs may have columns of any name
     names = {"doc_id": "__doc_id", "source": "__source", "size": "__size", "taken": "__taken", "no": "__no", "start": "__start", "blocks": "__blocks"}
@@ -167,7 +167,8 @@ def taken_texts(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
     both = rows.join(times, match)
     words = F.least("__size", F.col("__taken") - F.col("__time") * F.col("__size"))
     rows = both.select(*docs.columns, "__slot", "__start", F.when(words < F.col("__size"), words).alias("__words"))
-    rows = rows.repartitionByRange(F.asc_nulls_last("__slot"), "__start").sortWithinPartitions(F.asc_nulls_last("__slot"), "__start")
+    # not sorted over all partitions: that would shuffle the texts once more
+    rows = rows.sortWithinPartitions(F.asc_nulls_last("__slot"), "__start")
     word, names, schema = re.compile(WORD), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
