@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, in the order of the schedule: a document comes once for each whole time that it is taken, and once more with its first words if the
+    """The mix, each partition in the order of the schedule: a document comes once for each whole time that it is taken, and once more with its first words if the
     schedule's last block of its source ends in it. Documents that are not taken go, and so do those without words; a null source is one."""
     return mixing.taken_texts(docs).select(*COLUMNS)
 
